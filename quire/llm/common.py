@@ -75,3 +75,32 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python workers can import it."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quire-code-"), "quire_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)

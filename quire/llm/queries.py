@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import quality_rules, url_filter
+from quire.llm import kd_shards, mixing, quality_rules, token_output, url_filter, warc
 from quire.llm.common import table
 
 #: (verdict, host, path) of the URL filter's production rules.
@@ -22,14 +23,46 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as compressed token ids, read back from the files."""
+    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    placed = kd_shards.kd_shards(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule lookup of every page's URL."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken by the mix of all sources."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives."""
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_output": op2_token_output,
+    "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
+    "op6_mixing": op6_mixing,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE}
