@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import kd_shards, mixing, quality_rules, token_output, url_filter, warc
+from quire.llm import kd_shards, minmax_dedup, mixing, quality_rules, token_output, url_filter, warc
 from quire.llm.common import table
 
 #: (verdict, host, path) of the URL filter's production rules.
@@ -38,7 +38,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     placed = kd_shards.kd_shards(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles."""
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), length=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back from the archives."""
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_warc": op9_warc,
 }
 
