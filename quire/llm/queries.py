@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import kd_shards, minmax_dedup, mixing, quality_rules, token_output, url_filter, warc
+from quire.llm import decontaminate, html_text, kd_shards, language_id, minmax_dedup, mixing, quality_rules, token_output, url_filter, warc
 from quire.llm.common import table
 
 #: (verdict, host, path) of the URL filter's production rules.
@@ -35,6 +35,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds most of a benchmark item, with the item."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "coverage", "tiles", "tile_words", "longest")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     placed = kd_shards.kd_shards(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=8)
@@ -56,19 +61,32 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), length=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back from the archives."""
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_output": op2_token_output,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE}
