@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -50,6 +51,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,10 +78,10 @@ class PieceEncoder:
             self.inner.clear()
             self.first.clear()
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        self._learn(self.first, {s[0] for s in split if s} - self.first.keys(), "")
+        self._learn(self.first, {s[0] for s in split if s and s[0] not in self.first}, "")
         missing: set[str] = set()
         for s in split:
-            missing.update(set(s[1:]) - self.inner.keys())
+            missing.update([p for p in set(s[1:]) if p not in self.inner])
         self._learn(self.inner, missing, " ")
         out = []
         for t, s in zip(texts, split):
