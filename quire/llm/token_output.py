@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("byt
 DICTIONARY_DOCS = 1000
 DICTIONARY_PIECE = 32 * 1024
 DICTIONARY_BYTES = 112 * 1024
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 SHARD_SCHEMA = "shard int, file string, n_docs long, n_tokens long, bytes long, sha256 string"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -59,18 +60,48 @@ class PieceEncoder:
         self.cache_pieces = cache_pieces
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
+        self.marks = dict(zip(".,\n", self._fresh([*".,\n"])))
 
-    def _learn(self, cache: dict[str, bytes | None], pieces: Iterable[str], lead: str) -> None:
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn_first(self, pieces: Iterable[str]) -> None:
+        """Pieces without a space before them: a text's first, or a line's."""
         sound = []
         for p in pieces:
-            body = p[1:] if lead and p[:1] == "\n" else p
-            if body and not body[0].isspace() and not body[-1].isspace():
+            if p and not p[0].isspace() and not p[-1].isspace():
                 sound.append(p)
             else:
-                cache[p] = None
-        texts = [p if not lead or p[0] == "\n" else lead + p for p in sound]
-        for p, e in zip(sound, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            cache[p] = np.array(e.ids, self.dtype).tobytes()
+                self.first[p] = None
+        self.first.update(zip(sound, self._fresh(sound)))
+
+    def _learn_inner(self, pieces: Iterable[str]) -> None:
+        """Pieces after a space or, where they begin with one, a line break.
+
+        A letter and the full stop or comma after it never share a token, so the word is learned alone and the mark is
+        added to it.
+        """
+        inner, words, marked, lines = self.inner, set(), [], []
+        for p in pieces:
+            if p[:1] == "\n":
+                lines.append(p)
+            elif not p or p[0].isspace() or p[-1].isspace():
+                inner[p] = None
+            elif p[-1] in ".," and p[-2:-1].isalpha():
+                marked.append(p)
+                if p[:-1] not in inner:
+                    words.add(p[:-1])
+            else:
+                words.add(p)
+        new = sorted(words)
+        inner.update(zip(new, self._fresh([" " + p for p in new])))
+        for p in marked:
+            inner[p] = inner[p[:-1]] + self.marks[p[-1]]
+        self._learn_first({p[1:] for p in lines if p[1:] not in self.first})
+        for p in lines:
+            rest = self.first[p[1:]]
+            inner[p] = None if rest is None else self.marks["\n"] + rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
@@ -78,11 +109,11 @@ class PieceEncoder:
             self.inner.clear()
             self.first.clear()
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        self._learn(self.first, {s[0] for s in split if s and s[0] not in self.first}, "")
+        self._learn_first({s[0] for s in split if s and s[0] not in self.first})
         missing: set[str] = set()
         for s in split:
             missing.update([p for p in set(s[1:]) if p not in self.inner])
-        self._learn(self.inner, missing, " ")
+        self._learn_inner(missing)
         out = []
         for t, s in zip(texts, split):
             if not s:
