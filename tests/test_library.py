@@ -73,3 +73,14 @@ def test_streams(spark, tmp_path):
     q = events.sync_index(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "c")), str(tmp_path / "index"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "index/v0")).count() == 2
+
+
+def test_commands(spark, library, tmp_path, capsys):
+    from quire import cli
+
+    run = lambda *a: (cli.main(["--root", str(tmp_path), "--json", *a]), capsys.readouterr())
+    assert run("libs")[1].out.split() == ["my-lib"]
+    code, out = run("ls", "--level", "A*")
+    assert code == 0 and [x.split('"key":"')[1][:5] for x in out.out.splitlines()] == ["b2020", "a2017"]
+    assert run("note", "nope", "x")[0] == 1 and run("note", "a2017", "x")[0] == 0
+    assert run("delete", "nope")[0] == 1 and '"linked":1' in run("links")[1].out
