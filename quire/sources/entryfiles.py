@@ -19,8 +19,9 @@ from quire.functions.identifiers import escapes_library
 from quire.schema import ENTRY
 from quire.sources.shipping import map_batches
 
-NOTES_MARKER = "<!-- lit:user-notes"
-NOTES_BANNER = NOTES_MARKER + " - text below this line is yours and is never rewritten -->"
+#: Where the user's notes begin; any tool's name may stand before the colon.
+NOTES_MARKER = r"<!-- \w+:user-notes"
+NOTES_BANNER = "<!-- quire:user-notes - text below this line is yours and is never rewritten -->"
 NOT_AVAILABLE = "_Not available — no full text was read._"
 #: Front matter in this order; the other fields are in the body.
 FRONT = (
@@ -55,7 +56,7 @@ def notes_of(body: Column) -> Column:
 
 
 def machine_part(body: Column) -> Column:
-    return F.substring_index(body, NOTES_MARKER, 1)
+    return F.get(F.split(body, NOTES_MARKER), F.lit(0))
 
 
 def section_text(body: Column, heading: str) -> Column:
