@@ -37,6 +37,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(rows: int, rows_per_part: int = 500_000, least: int = 8) -> int:
+    """Partitions for a table of so many short rows; it grows with them."""
+    return max(least, -(-rows // rows_per_part))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a shared folder's URI; plain paths are local."""
     from pyarrow import fs

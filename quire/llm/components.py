@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
+from quire.llm.common import sized, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     more than a step. Each round is written to the shared folder, which cuts the lineage.
     """
     edges = edges.where("a <> b")
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    # The tables of a round are as many files as their rows need, not as a shuffle has partitions.
+    parts = sized(edges.count())
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(parts), "cc-edges")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(parts), "cc-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("_near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_one"))
         far = labels.select(F.col("node").alias("_at"), F.col("label").alias("_far"))
-        step = staged(step.join(far, step["_one"] == far["_at"], "left").select("node", "_old", F.least("_one", "_far").alias("label")), "cc-labels")
+        step = staged(step.join(far, step["_one"] == far["_at"], "left").select("node", "_old", F.least("_one", "_far").alias("label")).coalesce(parts), "cc-labels")
         moved = step.where("label <> _old").limit(1).count()
         labels = step.select("node", "label")
         if not moved:

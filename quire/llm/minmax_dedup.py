@@ -4,9 +4,10 @@ Each permutation gives two signature values, its minimum and its maximum over th
 shingle give 128 values: 32 bands of two permutations with both ends. At a similarity of 0.8 a pair shares no band
 with a probability under 1e-7. Texts with equal shingle sets become one node first, so exact copies are never paired.
 
-Within a bucket every member is compared with one pivot; after the components of those links are known, only members
-of different components that meet in a bucket are compared with one another, which leaves nothing that could still
-join two components. Copies in a group are hence not expanded into all their pairs, and no link between components
+Within a bucket every member is compared with one pivot; while large groups still hold several components, further
+rounds compare their members with other pivots. In the end members of different components that meet in a bucket are
+all compared with one another, which leaves nothing that could still join two components. Of those, pairs whose signatures differ far more than similar texts' could (six deviations,
+on four bits a value) are passed over. Copies in a group are hence not expanded into all their pairs, and no link between components
 is lost. Every candidate is confirmed on the two full sets of shingle hashes (64 bits) computed from the whole texts.
 
 Defined results: a null text or one without words has no shingle, links with nothing and is its own component; fewer
@@ -17,16 +18,20 @@ component's smallest; an empty table gives an empty result; only the id and text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches, staged
+from quire.llm.common import map_batches, sized, staged
 from quire.llm.components import connected_components
 
 PERMUTATIONS, BANDS = 64, 32
+#: Rounds with new pivots, and how many pairs a member may be left with on average before they are all compared.
+ROUNDS, FEW_PAIRS = 6, 4
 #: Lists of candidate texts of up to this many digests are broadcast.
 BROADCAST_DIGESTS = 500_000
 CACHE_WORDS = 800_000
@@ -93,24 +98,50 @@ def band_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return _mixed(h * np.uint64(0x9E3779B97F4A7C15) + ends[1::2]).view(np.int64)
 
 
+def sketch(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, 16 in a 64-bit word."""
+    v = (np.concatenate([low, high]) * np.uint32(0x9E3779B1)) >> np.uint32(28)
+    return np.bitwise_or.reduce(v.astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
+def sketch_distance(a: str, b: str) -> Column:
+    """Signature values that differ between two sketches, in at least one of their four bits."""
+
+    def differing(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(add, [differing(i) for i in range(2 * PERMUTATIONS // 16)])
+
+
+def farthest(percent: int) -> int:
+    """The sketch distance that a pair at the wanted similarity exceeds less than once in ten million times."""
+    n, p = 2 * PERMUTATIONS, (1 - percent / 100) * 15 / 16
+    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
+
+
 def signatures(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, digest (MD5 of the text), n_shingles, set_key (128-bit digest of the set) and bands of every row."""
+    """doc_id, digest (MD5 of the text), n_shingles, set_key (128-bit digest of the set), bands and sketch of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         a, b = _permutations()
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, length)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bands.append(band_hashes(*min_max(s, a, b)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "set_key", "bands"])
+                ends = min_max(s, a, b) if len(s) else None
+                bands.append(band_hashes(*ends) if ends else None)
+                sketches.append(sketch(*ends) if ends else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "set_key", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return map_batches(rows, sign, "doc_id long, digest string, n_shingles long, set_key binary, bands array<long>")
+    return map_batches(rows, sign, "doc_id long, digest string, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
@@ -131,46 +162,91 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
     return map_batches(rows.select("a", "b", "_x", "_y"), confirm, "a binary, b binary")
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Sets that differ too much in size cannot be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the component of a set; a set without a link is its own."""
+    known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(known, rows[key] == known["_node"], "left").withColumn(name, F.coalesce("_label", key)).drop("_node", "_label")
+
+
+def _crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, key, n, component, sketch of the members of buckets that hold different components."""
+    rows = _labelled(members, labels, "key", "component")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("bucket")
+    rows = rows.join(mixed, "bucket", "left_semi").join(sets.select(F.col("set_key").alias("key"), "sketch"), "key")
+    return rows.select("bucket", "key", "n", "component", "sketch")
+
+
+def _cross_pairs(rest: DataFrame) -> int:
+    """Pairs of different components that meet in a bucket."""
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+
+
+def _met(rest: DataFrame, other: DataFrame, percent: int, order: Column | None = None) -> DataFrame:
+    """a, b: members that meet one of ``other`` in a bucket, are of another component and may be similar enough.
+
+    Texts that merely share a passage meet often; their sketches tell them apart before they are paired.
+    """
+    near = sketch_distance("sketch", "sketch2") <= farthest(percent)
+    keep = (rest["bucket"] == other["bucket"]) & (F.col("component") != F.col("component2")) & _fits("n", "n2", percent) & near
+    rows = rest.join(other, keep if order is None else keep & order)
+    return rows.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components that they join get one label."""
+    across = _labelled(_labelled(links, labels, "a", "_a"), labels, "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    top = connected_components(across).select(F.col("node").alias("_at"), F.col("label").alias("_top"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    nodes = labels.select("node", "label").unionByName(new)
+    return staged(nodes.join(top, nodes["label"] == top["_at"], "left").select("node", F.coalesce("_top", "label").alias("label")).coalesce(sized(labels.count())), "dedup-labels")
+
+
 def near_duplicates(docs: DataFrame, *, length: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, digest, n_shingles, component_id and kept of every row of ``docs``."""
     signed = staged(signatures(docs, length), "dedup-signatures")
-    sets = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("digest").alias("digest"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    sets = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("digest").alias("digest"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = staged(sets, "dedup-sets")
     entries = sets.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("key"), "n")
     buckets = entries.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = staged(entries.join(buckets, "bucket").select("bucket", "key", "n", "members", F.col("pivot.key").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "dedup-members")
 
-    def fits(a: str, b: str):
-        # Sets that differ too much in size cannot be similar enough.
-        return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-    pairs = members.where((F.col("key") != F.col("pivot")) & fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = members.where((F.col("key") != F.col("pivot")) & _fits("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     wanted = members.select(F.col("key").alias("set_key")).distinct().join(sets.select("set_key", "digest"), "set_key")
     wanted = staged(wanted, "dedup-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_DIGESTS else wanted
     # One text for each set that meets another in a bucket; copies with the same digest are dropped before the shuffle.
     texts = docs.select("text", F.md5(F.col("text").cast("binary")).alias("digest")).join(side, "digest").select("set_key", "text").dropDuplicates(["set_key"])
     texts = staged(texts, "dedup-texts")
+    tested = pairs = staged(pairs, "dedup-pairs")
     links = staged(_confirmed(pairs, texts, length, percent), "dedup-links")
     labels = connected_components(links)
-
-    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
-        known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        return rows.join(known, rows[key] == known["_node"], "left").withColumn(name, F.coalesce("_label", key)).drop("_node", "_label")
-
-    # What is left to compare: members of different components in one bucket, neither of them its pivot.
-    rest = labelled(members.where("members > 2"), "key", "component")
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("bucket")
-    rest = staged(rest.where("key <> pivot").join(mixed, "bucket", "left_semi").select("bucket", "key", "n", "component"), "dedup-rest")
-    one, two = rest, rest.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    crossed = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("key") < F.col("key2")) & (F.col("component") != F.col("component2")) & fits("n", "n2"))
-    crossed = crossed.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = staged(_confirmed(crossed, texts, length, percent), "dedup-links")
-    if more.limit(1).count():
-        joined = labelled(labelled(more, "a", "_a"), "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        top = connected_components(joined).select(F.col("node").alias("_at"), F.col("label").alias("_top"))
-        nodes = labels.select("node", "label").unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-        labels = staged(nodes.join(top, nodes["label"] == top["_at"], "left").select("node", F.coalesce("_top", "label").alias("label")), "dedup-labels")
+    shared = members.where("members > 2").select("bucket", "key", "n")
+    parts = sized(shared.count())
+    for number in range(1, ROUNDS + 1):
+        rest = staged(_crossing(shared, sets, labels).coalesce(parts), "dedup-rest")
+        if _cross_pairs(rest) <= FEW_PAIRS * rest.count():
+            break
+        # Another pivot in each bucket: a member meets as many as it has buckets, and one of them suffices to join it.
+        lead = rest.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "component", "sketch"), F.xxhash64("key", "bucket", F.lit(number))).alias("p"))
+        lead = lead.select("bucket", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2"), F.col("p.sketch").alias("sketch2"))
+        pairs = staged(_met(rest, lead, percent).join(tested, ["a", "b"], "left_anti").coalesce(parts), "dedup-pairs")
+        links = staged(_confirmed(pairs, texts, length, percent), "dedup-links")
+        if not links.limit(1).count():
+            break
+        labels, tested = _joined(labels, links), tested.unionByName(pairs)
+    # All that could still join two components: members of different ones in a bucket that were not compared before.
+    rest = staged(_crossing(shared, sets, labels).coalesce(parts), "dedup-rest")
+    other = rest.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
+    crossed = _met(rest, other, percent, F.col("key") < F.col("key2")).join(tested, ["a", "b"], "left_anti")
+    links = staged(_confirmed(crossed, texts, length, percent), "dedup-links")
+    if links.limit(1).count():
+        labels = _joined(labels, links)
     named = sets.select("set_key", "first_doc", "copies").join(labels, sets["set_key"] == labels["node"], "left")
     grouped = named.where("label is not null").groupBy("label").agg(F.min("first_doc").alias("least"))
     named = named.drop("node").where("copies > 1 or label is not null").join(grouped, "label", "left").select("set_key", F.coalesce("least", "first_doc").alias("_component"))
