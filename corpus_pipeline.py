@@ -15,7 +15,7 @@ from quire.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
-    rows = quality_rules.quality_rules(docs).where("kept")
+    rows = quality_rules.cleaned_documents(docs)
     return rows.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 

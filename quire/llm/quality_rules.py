@@ -142,6 +142,15 @@ def quality_rules(docs: DataFrame, rules: LineRules = DEFAULT, text: str = "text
     return df.drop("_t", "_w", "_lines", "_full", "_faults")
 
 
+def cleaned_documents(docs: DataFrame, rules: LineRules = DEFAULT, text: str = "text") -> DataFrame:
+    """The documents that are kept, with ``clean_text``.
+
+    The row number in the condition keeps the optimizer from pushing the filter below the columns that it is made of,
+    where their expressions would be written out once for every use.
+    """
+    return quality_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+
+
 def quality_report(docs: DataFrame, rules: LineRules = DEFAULT) -> DataFrame:
     """The digest of the contract, one row per input row."""
     return quality_rules(docs.select("doc_id", "text"), rules).select("doc_id", *[c for c in OUTPUT if c not in ("clean_text", "faults")])
