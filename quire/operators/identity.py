@@ -12,9 +12,15 @@ from quire.functions.identifiers import blank_to_null, slug
 from quire.functions.titles import title_tokens, token_f1
 
 
+def _title_slug(title: Column, size: int = 200, ahead: int = 1000) -> Column:
+    """The slug of a title of any length; only where its start does not fill the slug is a long one folded whole."""
+    start = slug(F.substring(title, 1, ahead), size)
+    return F.when((F.length(start) == size) | (F.length(title) <= ahead), start).otherwise(slug(title, size))
+
+
 def identities(doi: Column, arxiv_id: Column, title: Column) -> Column:
     """array of (kind, value) by which a work can be found."""
-    pairs = [("doi", F.lower(blank_to_null(doi))), ("arxiv", blank_to_null(arxiv_id)), ("title", blank_to_null(slug(title, 200)))]
+    pairs = [("doi", F.lower(blank_to_null(doi))), ("arxiv", blank_to_null(arxiv_id)), ("title", blank_to_null(_title_slug(title)))]
     return F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in pairs]), lambda x: x["value"].isNotNull())
 
 

@@ -250,6 +250,29 @@ def find_duplicate(spark, sf_dir):
     return identity.find_duplicates(d.withColumnRenamed("key", "id"), d)
 
 
+# The text folded as ``identifiers.ascii_fold`` does it.
+_SLUG = f"substr(lower(regexp_replace(regexp_replace(translate(text, '{identifiers._FROM}', '{identifiers._TO}'), '\\p{{M}}+', '', 'g'), '[^a-zA-Z0-9]+', '', 'g')), 1, 200)"
+
+
+@query(
+    f"""WITH i AS (SELECT doc_id, 'doi' AS kind, CASE WHEN doc_id % 2 = 0 THEN '10.5555/' || md5(text) END AS value FROM documents
+UNION ALL SELECT doc_id, 'arxiv', CASE WHEN doc_id % 3 = 0 THEN 'doc/' || md5(right(text, 200)) END FROM documents
+UNION ALL SELECT doc_id, 'title', {_SLUG} FROM documents)
+SELECT id, min(first) AS key FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY kind, value) AS first FROM i WHERE value <> '') GROUP BY id"""
+)
+def find_duplicate_all(spark, sf_dir):
+    """For each document of any language the first one with its DOI, arXiv id or title slug.
+
+    The texts hold no identifiers: a digest of the text stands for the DOI, one of its end for the arXiv id.
+    """
+    c = F.col
+    d = _t(spark, sf_dir, "documents").select(
+        c("doc_id").alias("key"), F.when(c("doc_id") % 2 == 0, F.concat(F.lit("10.5555/"), F.upper(F.md5(c("text").cast("binary"))))).alias("doi"),
+        F.when(c("doc_id") % 3 == 0, F.concat(F.lit("doc/"), F.md5(F.right("text", F.lit(200)).cast("binary")))).alias("arxiv_id"), c("text").alias("title"),
+    )
+    return identity.find_duplicates(d.withColumnRenamed("key", "id"), d)
+
+
 @query(
     """WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '') || 'k' AS base, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)
 SELECT id, base || CASE WHEN n = 0 THEN '' WHEN n <= 26 THEN chr(CAST(96 + n AS INTEGER)) ELSE CAST(n - 25 AS VARCHAR) END AS key FROM n"""
