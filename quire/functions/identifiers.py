@@ -53,14 +53,14 @@ def normal_code_url(raw: Column) -> Column:
     return F.when(known & enough, F.concat(F.lit("https://"), host, F.lit("/"), F.array_join(path, "/"), query))
 
 
-def _latin_fold() -> tuple[str, str]:
-    """Letters up to U+024F that decompose to one ASCII character, and those characters; derived, not listed."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xA0, 0x250)]
+def latin_fold(start: int = 0xA0, end: int = 0x250) -> tuple[str, str]:
+    """Letters (up to U+024F) that decompose to one ASCII character, and those characters; derived, not listed."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(start, end)]
     kept = [(a, b) for a, b in pairs if len(b) == 1]
     return "".join(a for a, _ in kept), "".join(b for _, b in kept)
 
 
-_FROM, _TO = _latin_fold()
+_FROM, _TO = latin_fold()
 
 
 def ascii_fold(text: Column) -> Column:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.identifiers import ascii_fold, latin_fold
 from quire.schema import LEVELS
 
 # Words that searches drop, the weights of an entry's fields, BM25's constants.
@@ -21,13 +23,17 @@ STOPWORDS = frozenset(
 FIELD_WEIGHTS = {"title": 8.0, "authors": 2.0, "one_liner": 6.0, "abstract": 2.0, "tags": 4.0, "summary": 1.0, "findings": 3.0, "notes": 5.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN = "([a-z0-9]+)"
+#: Tokens and query words of folded text: letters and digits of any script.
+FOLDED_TOKEN = r"([\p{L}\p{N}]+)"
+QUERY_WORD, FOLDED_QUERY_WORD = r"[A-Za-z0-9][A-Za-z0-9_+#.-]*", "[^\\W_][\\w+#.\u0300-\u036f-]*"
+_MORE_FROM, _MORE_TO = latin_fold(0x1E00, 0x1F00)
 
 
-def query_parts(query: str) -> tuple[list[str], list[str]]:
+def query_parts(query: str, word: str = QUERY_WORD) -> tuple[list[str], list[str]]:
     """(phrases, terms) of what a user typed: quoted phrases as they are, other words without stopwords, in order."""
     query = (query or "").strip()
     phrases = [p for p in re.findall(r'"([^"]+)"', query) if p.strip()]
-    found = re.findall(r"[A-Za-z0-9][A-Za-z0-9_+#.-]*", re.sub(r'"[^"]*"', " ", query))
+    found = re.findall(word, re.sub(r'"[^"]*"', " ", query))
     return phrases, list(dict.fromkeys(w for w in found if len(w) > 1 and w.lower() not in STOPWORDS))
 
 
@@ -55,31 +61,47 @@ def entry_fields(entries: DataFrame) -> DataFrame:
     )
 
 
+def tokens(text: Column, *, fold: bool = False, stem: bool = False, token: str = TOKEN) -> Column:
+    """The terms of a text in order; with ``fold`` without accents and in any script, with ``stem`` as stems."""
+    text = F.translate(ascii_fold(text), _MORE_FROM, _MORE_TO) if fold else F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(F.lower(text), F.lit(FOLDED_TOKEN if fold and token == TOKEN else token), F.lit(1))
+    return F.transform(found, stemmed) if stem else found
+
+
 class Index:
-    """An inverted index: postings (term, key, f: weighted frequency, places) and lengths (key, n)."""
+    """An inverted index: postings (term, key, f: weighted frequency, places) and lengths (key, n).
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame):
-        self.postings, self.lengths = postings, lengths
+    ``fold`` and ``stem`` tell how its terms were made; a query's terms are made in the same way.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, *, fold: bool = False, stem: bool = False):
+        self.postings, self.lengths, self.fold, self.stem = postings, lengths, fold, stem
 
     @classmethod
-    def build(cls, rows: DataFrame, weights: dict[str, float], *, key: str = "key", positions: bool = False, token: str = TOKEN) -> Index:
+    def build(cls, rows: DataFrame, weights: dict[str, float], *, key: str = "key", positions: bool = False, token: str = TOKEN, fold: bool = False, stem: bool = False) -> Index:
         """Indexes the columns named in ``weights``. With ``positions`` phrases can be matched."""
-        tokens = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(token), F.lit(1))
-        fields = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(i).alias("field"), tokens(c).alias("t")) for i, (c, w) in enumerate(weights.items())])
+        terms = lambda c: tokens(F.col(c), fold=fold, stem=stem, token=token)
+        fields = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(i).alias("field"), terms(c).alias("t")) for i, (c, w) in enumerate(weights.items())])
         spread = rows.select(F.col(key).alias("key"), F.explode(fields).alias("f")).select("key", "f.w", "f.field", F.posexplode("f.t").alias("at", "term"))
         extra = [F.sort_array(F.collect_list(F.struct("field", "at"))).alias("places")] if positions else []
         postings = spread.groupBy("term", "key").agg(F.sum("w").alias("f"), *extra)
-        lengths = rows.select(F.col(key).alias("key"), sum((F.size(tokens(c)) for c in weights), F.lit(0)).cast("long").alias("n"))
-        return cls(postings, lengths)
+        lengths = rows.select(F.col(key).alias("key"), sum((F.size(terms(c)) for c in weights), F.lit(0)).cast("long").alias("n"))
+        return cls(postings, lengths, fold=fold, stem=stem)
 
     def save(self, path: str) -> None:
         """Postings lie sorted by term, so a query reads few row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        made = self.lengths.sparkSession.range(1).select(F.lit(self.fold).alias("fold"), F.lit(self.stem).alias("stem"))
+        made.write.mode("overwrite").parquet(f"{path}/terms")
 
     @classmethod
     def load(cls, spark, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        try:
+            made = spark.read.parquet(f"{path}/terms").first().asDict()
+        except AnalysisException:  # saved before terms could be folded or stemmed
+            made = {}
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), **made)
 
     def phrase_hits(self, phrase: list[str], weights: list[float]) -> DataFrame:
         """key, f of documents that hold the tokens in a row within a field."""
@@ -144,16 +166,20 @@ def listing_score(level: Column, year: Column) -> Column:
     return (level_rank(level) * 1000 - F.coalesce(year, F.lit(0))).cast("double")
 
 
-def search(entries: DataFrame, query: str, *, limit: int = 20, index: Index | None = None, **filters) -> DataFrame:
-    """key, title, score of the best entries, ties by key."""
-    phrases, terms = query_parts(query)
+def search(entries: DataFrame, query: str, *, limit: int = 20, index: Index | None = None, stem: bool | None = None, **filters) -> DataFrame:
+    """key, title, score of the best entries, ties by key. Accents do not matter; with ``stem`` word forms do not either."""
+    if index and stem is not None and stem != index.stem:
+        raise ValueError("the index was built with another stem option")
+    fold, stem = (index.fold, index.stem) if index else (True, bool(stem))
+    phrases, terms = query_parts(query, FOLDED_QUERY_WORD if fold else QUERY_WORD)
     kept = matching(entries, **filters)
     if not phrases and not terms:
         return kept.select("key", "title", listing_score(F.col("level"), F.col("year")).alias("score")).orderBy("score", "key").limit(limit)
-    tokens = {t: re.findall("[a-z0-9]+", t.lower()) for t in [*terms, *phrases]}
-    single = sorted({x[0] for x in tokens.values() if len(x) == 1})
-    rows = [x for x in tokens.values() if len(x) > 1]
-    index = index or Index.build(entry_fields(entries), FIELD_WEIGHTS, positions=bool(rows))
+    # The index's own expression makes the query's terms, on one row.
+    made = entries.sparkSession.range(1).select(*[tokens(F.lit(t), fold=fold, stem=stem).alias(f"t{i}") for i, t in enumerate([*terms, *phrases])]).first()
+    single = sorted({x[0] for x in made if len(x) == 1})
+    rows = [list(x) for x in dict.fromkeys(map(tuple, made)) if len(x) > 1]
+    index = index or Index.build(entry_fields(entries), FIELD_WEIGHTS, positions=bool(rows), fold=fold, stem=stem)
     hits = index.scores(single, rows, list(FIELD_WEIGHTS.values()))
     return hits.join(kept.select("key", "title"), "key").select("key", "title", "score").orderBy("score", "key").limit(limit)
 
