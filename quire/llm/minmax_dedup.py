@@ -12,7 +12,8 @@ is lost. Every candidate is confirmed on the two full sets of shingle hashes (64
 
 Defined results: a null text or one without words has no shingle, links with nothing and is its own component; fewer
 words than the shingle length are one shingle; repeated rows are copies of each other; null ids are never a
-component's smallest; an empty table gives an empty result; only the id and text columns are read by the report.
+component's smallest, and a component of null ids only has a null id; of a component the rows with the smallest id
+(nulls last) and then the smallest digest of the text are kept, whatever ids are shared; an empty table gives an empty result; only the id and text columns are read by the report.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, length: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, digest, n_shingles, component_id and kept of every row of ``docs``."""
     signed = staged(signatures(docs, length), "dedup-signatures")
-    sets = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("digest").alias("digest"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    sets = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest")).alias("first"), F.count("*").alias("copies"), F.min("digest").alias("digest"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = staged(sets, "dedup-sets")
     entries = sets.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("key"), "n")
     buckets = entries.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
@@ -247,11 +248,13 @@ def near_duplicates(docs: DataFrame, *, length: int = 5, percent: int = 80) -> D
     links = staged(_confirmed(crossed, texts, length, percent), "dedup-links")
     if links.limit(1).count():
         labels = _joined(labels, links)
-    named = sets.select("set_key", "first_doc", "copies").join(labels, sets["set_key"] == labels["node"], "left")
-    grouped = named.where("label is not null").groupBy("label").agg(F.min("first_doc").alias("least"))
-    named = named.drop("node").where("copies > 1 or label is not null").join(grouped, "label", "left").select("set_key", F.coalesce("least", "first_doc").alias("_component"))
+    named = sets.select("set_key", "first", "copies").join(labels, sets["set_key"] == labels["node"], "left")
+    grouped = named.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
+    named = named.drop("node").where("copies > 1 or label is not null").join(grouped, "label", "left").select("set_key", F.coalesce("least", "first").alias("_first"))
     out = signed.select("doc_id", "digest", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "digest", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # An id may be null or shared by near copies, so the survivor is told by its text as well; a set on its own has no _first.
+    survives = F.col("_first").isNull() | (F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("digest") == F.col("_first.digest")))
+    return out.select("doc_id", "digest", "n_shingles", F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id")).alias("component_id"), survives.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, length: int = 5, percent: int = 80) -> DataFrame:

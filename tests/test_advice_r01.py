@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 
 import pytest
 
+from quire.llm import minmax_dedup
 from quire.operators import search as searching
 from quire.plans.queries import QUERIES
 
@@ -47,3 +49,21 @@ def test_search_folds_accents_and_stems_when_asked(spark, tmp_path):
     assert found("running", index=plain) == ["k2"]
     with pytest.raises(ValueError):
         found("runs", index=plain, stem=True)
+
+
+def near(words, i):
+    return " ".join([*words[:i], f"changed{i}", *words[i + 1 :]])
+
+
+def test_near_copies_with_null_or_shared_ids_leave_one(spark):
+    a, b, c = ([f"{p}{i}" for i in range(150)] for p in "abc")
+    rows = [(None, " ".join(a)), (None, near(a, 40)), (None, near(a, 90)), (7, " ".join(b)), (7, near(b, 20)), (9, near(b, 70)), (None, near(b, 100)), (7, " ".join(b).upper()), (None, " ".join(c)), (11, near(c, 50)), (None, "alone"), (None, None), (12, "by itself")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((i, (t or "-")[0].lower()) for i, t in minmax_dedup.deduplicated(df).collect())
+    assert kept == {(None, "a"): 2, (7, "b"): 1, (11, "c"): 1, (None, "-"): 1, (12, "b"): 1}
+    report = minmax_dedup.near_duplicates(df, length=2).collect()
+    assert len(report) == len(rows) and sum(r["kept"] for r in report) == 6
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    groups = [[t for _, t in rows[:3]], [t for i, t in rows[3:8] if i == 7], [rows[9][1]]]
+    assert {min(map(digest, g)) for g in groups} == {r["digest"] for r in report if r["kept"] and r["n_shingles"] > 1 and r["doc_id"] != 12}
+    assert {r["component_id"] for r in report if r["digest"] in map(digest, groups[0])} == {None}
