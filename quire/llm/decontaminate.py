@@ -8,7 +8,8 @@ no run of ``min_match`` words is left. Tiles do not overlap but may stand in any
 A document leaks an item if its tiles cover at least ``min_coverage`` of the item's words.
 
 Defined results: null or empty texts share nothing; an item shorter than ``min_match`` words is matched whole, as one
-run; repeated documents each get their rows; an empty table on either side gives no rows; only the named columns are
+run; repeated documents each get their rows; items are told apart by id and text, so texts that share an item id or
+have none are each tiled and each get their row; an empty table on either side gives no rows; only the named columns are
 read, so other columns cannot clash.
 """
 
@@ -102,8 +103,8 @@ def tiles(doc: list[str], item: list[str], min_match: int = MIN_MATCH) -> list[t
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, digest, item_id, coverage, tiles, tile_words and longest of every (document, item) pair that leaks."""
-    items = benchmark.select("item_id", normal_words(F.col("text")).alias("_iw")).where(F.size("_iw") > 0)
-    known = staged(items.select("item_id", F.explode(F.array_distinct(seeds(F.col("_iw"), 1))).alias("seed")), "leak-seeds")
+    items = benchmark.select("item_id", F.md5(F.col("text").cast("binary")).alias("item_digest"), normal_words(F.col("text")).alias("_iw")).where(F.size("_iw") > 0)
+    known = staged(items.select("item_id", "item_digest", F.explode(F.array_distinct(seeds(F.col("_iw"), 1))).alias("seed")), "leak-seeds")
     rows = docs.select(F.col("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), normal_words(F.col("text")).alias("_w"))
     # Items under the seed's length are one seed of their own size; documents then need every start of that size.
     sizes = [r["n"] for r in items.where(F.size("_iw") < min_match).select(F.size("_iw").alias("n")).distinct().collect()]
@@ -113,28 +114,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
     spread = rows.select("doc_id", "digest", F.explode(found).alias("seed"))
     side = F.broadcast(known) if known.count() <= BROADCAST_SEEDS else known
     # The rows of a document stay together up to here, so most of its pairs become one before the shuffle.
-    pairs = staged(spread.join(side, "seed").select("doc_id", "digest", "item_id").distinct(), "leak-pairs")
+    pairs = staged(spread.join(side, "seed").select("doc_id", "digest", "item_id", "item_digest").distinct(), "leak-pairs")
     wanted = pairs.select("digest").distinct()
     n = wanted.count()
     wanted = F.broadcast(wanted) if n <= BROADCAST_SEEDS else wanted
     texts = docs.select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", normal_words(F.col("text")).alias("_w"))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("digest", pa.string()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("tile_words", pa.int64()), ("longest", pa.int64())])
+        types = pa.schema([("digest", pa.string()), ("item_digest", pa.string()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("tile_words", pa.int64()), ("longest", pa.int64())])
         for b in batches:
             out = []
-            for digest, item_id, doc, item in zip(*[c.to_pylist() for c in b.columns]):
+            for digest, item_digest, doc, item in zip(*[c.to_pylist() for c in b.columns]):
                 t = tiles(doc, item, min_match)
                 words = sum(x[2] for x in t)
                 if words >= min_coverage * len(item):
-                    out.append({"digest": digest, "item_id": item_id, "coverage": words / len(item), "tiles": len(t), "tile_words": words, "longest": t[0][2]})
+                    out.append({"digest": digest, "item_digest": item_digest, "coverage": words / len(item), "tiles": len(t), "tile_words": words, "longest": t[0][2]})
             yield pa.RecordBatch.from_pylist(out, types)
 
-    # Equal texts are tiled once.
-    work = pairs.select("digest", "item_id").distinct().join(texts, "digest").join(items.dropDuplicates(["item_id"]), "item_id").select("digest", F.col("item_id").cast("long").alias("item_id"), "_w", "_iw")
-    verdicts = map_batches(work, tile, "digest string, item_id long, coverage double, tiles int, tile_words long, longest long")
+    # Equal texts, of documents and of items, are tiled once; digests are never null, item ids may be.
+    item_texts = items.dropDuplicates(["item_digest"]).select("item_digest", "_iw")
+    work = pairs.select("digest", "item_digest").distinct().join(texts, "digest").join(item_texts, "item_digest").select("digest", "item_digest", "_w", "_iw")
+    verdicts = map_batches(work, tile, "digest string, item_digest string, coverage double, tiles int, tile_words long, longest long")
     verdicts = staged(verdicts, "leak-verdicts")
-    return pairs.join(verdicts, ["digest", "item_id"]).select("doc_id", "digest", "item_id", "coverage", "tiles", "tile_words", "longest")
+    return pairs.join(verdicts, ["digest", "item_digest"]).select("doc_id", "digest", "item_id", "coverage", "tiles", "tile_words", "longest")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

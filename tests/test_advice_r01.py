@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from quire.llm import minmax_dedup
+from quire.llm import decontaminate, minmax_dedup
 from quire.operators import search as searching
 from quire.plans.queries import QUERIES
 
@@ -67,3 +67,12 @@ def test_near_copies_with_null_or_shared_ids_leave_one(spark):
     groups = [[t for _, t in rows[:3]], [t for i, t in rows[3:8] if i == 7], [rows[9][1]]]
     assert {min(map(digest, g)) for g in groups} == {r["digest"] for r in report if r["kept"] and r["n_shingles"] > 1 and r["doc_id"] != 12}
     assert {r["component_id"] for r in report if r["digest"] in map(digest, groups[0])} == {None}
+
+
+def test_every_benchmark_text_is_tiled(spark):
+    x, y, z = (" ".join(f"{p}{i}" for i in range(20)) for p in "xyz")
+    bench = spark.createDataFrame([(1, x), (1, y), (1, y), (None, z), (2, x)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so " + x), (2, "so " + y), (3, "so " + z), (4, x + " " + z), (5, "nothing of it"), (None, y)], "doc_id long, text string")
+    found = collections.Counter((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(df, bench).collect())
+    assert found == {(1, 1, 1.0): 1, (1, 2, 1.0): 1, (2, 1, 1.0): 1, (3, None, 1.0): 1, (4, 1, 1.0): 1, (4, 2, 1.0): 1, (4, None, 1.0): 1, (None, 1, 1.0): 1}
+    assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [5]
