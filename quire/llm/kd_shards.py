@@ -121,8 +121,18 @@ def _with_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_run", run).join(F.broadcast(runs), ["shard", "_run"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_first") + F.col("_before")).alias("slot"))
 
 
-def write_sharded(docs: DataFrame, placed: DataFrame, out: str | None = None) -> str:
-    """Writes ``docs`` with their shard and slot, one folder a shard; ids must be unique here."""
+def write_sharded(docs: DataFrame, placed: DataFrame, out: str | None = None, *, id_column: str = "doc_id", text: str = "text") -> str:
+    """Writes every row of ``docs`` once with its shard and slot, one folder a shard; ids may be null or repeated.
+
+    Rows of one id, size and checksum are dealt to their places in any order.
+    """
     out = out or fresh_path(docs.sparkSession, "shards")
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(out)
+    raw = F.coalesce(F.col(text), F.lit(""))
+    mine = docs.withColumns({"_id": F.col(id_column), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw.cast("binary"))})
+    mine = mine.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy("_id")))
+    theirs = placed.select(F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.col("text_crc32").alias("_pcrc"), F.col("shard").alias("_pshard"), F.col("slot").alias("_pslot"))
+    theirs = theirs.withColumn("_pn", F.row_number().over(Window.partitionBy("_pid", "_psize", "_pcrc").orderBy("_pshard", "_pslot")))
+    same = F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_size") == F.col("_psize")) & (F.col("_crc") == F.col("_pcrc")) & (F.col("_n") == F.col("_pn"))
+    rows = mine.join(theirs, same).select(*[mine[c] for c in docs.columns if c not in ("shard", "slot")], F.col("_pshard").alias("shard"), F.col("_pslot").alias("slot"))
+    rows.repartition("shard").write.partitionBy("shard").parquet(out)
     return out

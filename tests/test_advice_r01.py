@@ -7,8 +7,9 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, minmax_dedup
+from quire.llm import decontaminate, kd_shards, minmax_dedup
 from quire.operators import search as searching
 from quire.plans.queries import QUERIES
 
@@ -76,3 +77,12 @@ def test_every_benchmark_text_is_tiled(spark):
     found = collections.Counter((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(df, bench).collect())
     assert found == {(1, 1, 1.0): 1, (1, 2, 1.0): 1, (2, 1, 1.0): 1, (3, None, 1.0): 1, (4, 1, 1.0): 1, (4, 2, 1.0): 1, (4, None, 1.0): 1, (None, 1, 1.0): 1}
     assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [5]
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (None, None), (3, "one"), (3, "one"), (3, "two"), (4, "four"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    placed = kd_shards.kd_shards(df, ["n_chars"], shards=2)
+    written = spark.read.parquet(kd_shards.write_sharded(df, placed, str(tmp_path / "shards"))).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in written) == collections.Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in written) == sorted((r["shard"], r["slot"]) for r in placed.collect())
