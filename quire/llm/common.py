@@ -16,9 +16,12 @@ _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or a fresh local one where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -34,7 +37,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage is cut and survives executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def sized(rows: int, rows_per_part: int = 500_000, least: int = 8) -> int:
@@ -109,3 +123,10 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def sliced(batches, rows: int):
+    """The batches in pieces of up to so many rows, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import sized, staged
+from quire.llm.common import forget, sized, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of every node in ``edges`` (a, b).
+    """node, label (the smallest node reachable) of every node in ``edges`` (a, b), as a staged table with an extra column.
 
     A round takes the smallest label among neighbours and then the label of that label, so long chains shrink by
     more than a step. Each round is written to the shared folder, which cuts the lineage.
@@ -25,6 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         far = labels.select(F.col("node").alias("_at"), F.col("label").alias("_far"))
         step = staged(step.join(far, step["_one"] == far["_at"], "left").select("node", "_old", F.least("_one", "_far").alias("label")).coalesce(parts), "cc-labels")
         moved = step.where("label <> _old").limit(1).count()
-        labels = step.select("node", "label")
+        forget(labels)
+        labels = step
         if not moved:
+            forget(both)
             return labels
