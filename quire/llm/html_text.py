@@ -1,11 +1,17 @@
-"""Main-text extraction with site template removal.
+"""Main-text extraction by site template removal.
 
-Every element subtree of a page is hashed; Spark counts on how many different pages of a host each hash occurs, and
-subtrees that recur on many of them are deleted. Counting alone cannot tell a menu from a sentence that many articles
-of a host really share, and says nothing about hosts with a page or two, so it is joined by the page's own markup:
-elements that are never content (scripts, menus, footers, forms, ...) go by tag, role or class, the text comes from
-``article`` or ``main`` where a page has one, and within it only recurring containers are deleted, never recurring
-paragraphs or headings. Identical pages count once, so copies of a page do not turn its article into a template.
+Every element subtree of a page is hashed by its shape: tags, class words and the shapes of its children with runs of
+equal ones as one, under the path of its ancestors; texts and link targets are left out, so a menu with other labels
+is still the same menu. Spark counts on how many different pages of a host, and on how many hosts, each shape occurs.
+What recurs and stands outside the page's content is template and is deleted; what occurs once is kept. The content is
+where ``article`` or ``main`` says, or else the deepest container with half of the page's words outside links. Inside
+the content the counts are of subtrees with their texts: a container that is the same on several pages goes, sentences
+and headings stay. Identical pages count once, so copies of a page do not turn its article into a template.
+
+Tags, roles and class words only break ties: inside the content (a comment section or share bar within the article),
+and on pages about which counts say nothing because their host has fewer than ``min_pages`` pages and the whole table
+fewer than ``min_hosts`` hosts. An element that holds half of the content's words is not furniture by its class.
+Scripts, styles, forms and other markup that is no text go everywhere.
 
 Defined results: null or empty markup and pages without content have an empty text; a null URL has the host ``''``;
 repeated rows each get a row; an empty table gives an empty result; only id, URL and markup are read, so other columns
@@ -22,21 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches, staged
+from quire.llm.common import forget, map_batches, sliced, staged
 from quire.llm.url_filter import url_host
 
-MIN_PAGES, MIN_SHARE = 3, 0.25
+#: A shape is template on a host from so many pages and that share of the host's, or from so many hosts.
+MIN_PAGES, MIN_SHARE, MIN_HOSTS = 3, 0.001, 3
 #: Template tables of up to this many hashes are broadcast; larger ones are joined by host.
 BROADCAST_HASHES = 1_000_000
 #: Lists of repeated pages of up to this many rows are broadcast.
 BROADCAST_COPIES = 100_000
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 200
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head script style noscript template iframe textarea title svg math object nav footer aside form button select option menu dialog canvas audio video map input".split())
-CONTAINERS = frozenset("div section aside ul ol dl table form nav footer header figure details".split())
+NEVER = frozenset("head script style noscript template iframe textarea title svg math object form button select option canvas audio video map input".split())
+FRAME = frozenset("nav footer aside menu dialog".split())
+CONTAINERS = frozenset("div section aside ul ol dl table form nav footer header figure details menu dialog".split())
+LAYOUT = CONTAINERS | frozenset("#root html body center tbody tr td".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body article main section div aside table ul ol dl td th form".split())
@@ -57,10 +68,11 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 class Node:
     """An element: its children are nodes and strings of decoded text."""
 
-    __slots__ = ("attributes", "children", "digest", "tag")
+    __slots__ = ("attributes", "children", "digest", "linked", "prose", "shape", "spot", "tag")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes, self.children, self.digest = tag, attributes, [], 0
+        self.shape, self.spot, self.prose, self.linked = 0, 0, 0, 0
 
 
 def parse(html: str) -> Node:
@@ -106,8 +118,16 @@ def parse(html: str) -> Node:
     return root
 
 
+def _name(node: Node) -> str:
+    """The tag with the class words; numbers in them are one."""
+    if "class" not in node.attributes:
+        return node.tag
+    found = next(("".join(values) for name, *values in ATTRIBUTE.findall(node.attributes) if name.lower() == "class"), "")
+    return f"{node.tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '#', found).split()))}" if found.strip() else node.tag
+
+
 def hashed(root: Node) -> list[Node]:
-    """Sets the digest of every element, children first; the elements."""
+    """Sets digest (with texts), shape, spot (path and name only) and the words of every element; the elements, parents first."""
     from xxhash import xxh3_64_intdigest
 
     order, todo = [], [root]
@@ -115,18 +135,43 @@ def hashed(root: Node) -> list[Node]:
         n = todo.pop()
         order.append(n)
         todo.extend(c for c in n.children if isinstance(c, Node))
+    names = {id(n): _name(n) for n in order}
     for n in reversed(order):
-        parts = [n.tag, n.attributes.strip()]
-        parts += [f"\x00{c.digest:x}" if isinstance(c, Node) else " ".join(c.split()) for c in n.children]
+        parts, inner = [n.tag, n.attributes.strip()], []
+        for c in n.children:
+            if isinstance(c, Node):
+                parts.append(f"\x00{c.digest:x}")
+                if c.tag not in RAW:
+                    n.prose += c.prose
+                    n.linked += c.linked
+                if c.tag not in INLINE and c.tag not in VOID and (not inner or inner[-1] != c.shape):
+                    inner.append(c.shape)
+            else:
+                words = c.split()
+                n.prose += len(words)
+                parts.append(" ".join(words))
+        if n.tag == "a":
+            n.linked, n.prose = n.linked + n.prose, 0
         n.digest = xxh3_64_intdigest("\x01".join(p for p in parts if p)) - (1 << 63)
+        n.shape = xxh3_64_intdigest(f"{names[id(n)]}\x02{inner}")
+    paths = {id(root): 0}
+    for n in order:
+        here = paths[id(n)]
+        own = xxh3_64_intdigest(f"{here:x}\x03{names[id(n)]}")
+        n.shape = xxh3_64_intdigest(f"{here:x}\x04{n.shape:x}") - (1 << 63)
+        # A bare div says nothing without what is in it; a name does.
+        n.spot = own - (1 << 63) if n.tag in FRAME or n.tag in ("header", "form") or "." in names[id(n)] else n.shape
+        for c in n.children:
+            if isinstance(c, Node):
+                paths[id(c)] = own
     return order
 
 
-def is_furniture(node: Node, inside: bool) -> bool:
-    """Whether the element is never content; ``inside``: it stands in the article."""
-    if node.tag in NEVER or node.tag == "header" and not inside:
+def is_furniture(node: Node, inside: bool, words: int = 0) -> bool:
+    """Whether tag, role or class say furniture; ``inside``: it stands in the article; ``words``: of the whole content."""
+    if node.tag in NEVER or node.tag in FRAME or node.tag == "header" and not inside:
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body", "main") or words and 2 * node.prose >= words:
         return False
     for name, *values in ATTRIBUTE.findall(node.attributes):
         value = "".join(values)
@@ -137,12 +182,12 @@ def is_furniture(node: Node, inside: bool) -> bool:
 
 
 def content_roots(root: Node) -> tuple[list[Node], bool]:
-    """Where the text is: the articles, else main, else the whole page; whether it is one of the first two."""
+    """Where the text is: the articles, else main, else the container with most words; whether it is one of the first two."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [root]
     while todo:
         n = todo.pop()
-        if is_furniture(n, False):
+        if n.tag in NEVER or n.tag in FRAME and 2 * n.prose < root.prose:
             continue
         kind = "main" if re.search(r"role\s*=\s*[\"']?main", n.attributes) else n.tag
         if kind in found:
@@ -150,21 +195,38 @@ def content_roots(root: Node) -> tuple[list[Node], bool]:
             if kind == "article":
                 continue
         todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    # A comment may be an article too.
+    words = sum(n.prose for n in found["article"])
+    found["article"] = [n for n in found["article"] if not is_furniture(n, True, words)] or found["article"]
     for kind in ("article", "main"):
         if found[kind]:
             return found[kind], True
-    return [root], False
+    at = root
+    while True:
+        inner = [c for c in at.children if isinstance(c, Node) and c.tag in LAYOUT - FRAME and c.prose and 2 * c.prose >= root.prose]
+        if not inner:
+            return [at], False
+        at = inner[0]
 
 
-def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of a page's content, without the host's template subtrees."""
+def around(order: list[Node], starts: list[Node]) -> set[int]:
+    """The ids of the elements that hold one of ``starts``."""
+    over, goals = set(), set(map(id, starts))
+    for n in reversed(order):
+        if any(isinstance(c, Node) and (id(c) in goals or id(c) in over) for c in n.children):
+            over.add(id(n))
+    return over
+
+
+def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset(), counted: bool = False) -> str:
+    """The blocks of a page's content without template subtrees; ``counted``: the counts decide what is template."""
     if not html:
         return ""
     root = parse(html)
-    if templates:
-        hashed(root)
-    starts, inside = content_roots(root)
-    keep = set(map(id, starts))
+    order = hashed(root)
+    starts, marked = content_roots(root)
+    goals, over = set(map(id, starts)), around(order, starts)
+    words = sum(n.prose for n in starts)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -173,67 +235,113 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
             blocks.append(text)
         now.clear()
 
-    for start in starts:
-        todo: list = [start]
-        while todo:
-            n = todo.pop()
-            if n is None:
+    def goes(n: Node, inside: bool) -> bool:
+        if n.tag in NEVER:
+            return True
+        if inside:
+            recurs = n.tag in CONTAINERS and (n.digest in templates or not marked and n.shape in templates and n.linked > n.prose)
+            return recurs or is_furniture(n, marked, words)
+        if not counted:
+            return marked or is_furniture(n, False)
+        return (n.shape in templates or n.spot in templates) and (marked or n.tag in CONTAINERS)
+
+    todo: list = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        if n is None:
+            flush()
+        elif isinstance(n, str):
+            now.append(n)
+        elif id(n) not in over and id(n) not in goals and n.tag != "br" and goes(n, inside):
+            if n.tag not in INLINE:
                 flush()
-            elif isinstance(n, str):
-                now.append(n)
-            elif n.tag == "br":
-                now.append(" ")
-            elif id(n) not in keep and (is_furniture(n, inside) or n.digest in templates and (not inside or n.tag in CONTAINERS)):
-                if n.tag not in INLINE:
-                    flush()
-            else:
-                if n.tag not in INLINE:
-                    flush()
-                    todo.append(None)
-                todo.extend(reversed(n.children))
-        flush()
+        elif n.tag == "br":
+            now.append(" ")
+        else:
+            inside = inside or id(n) in goals
+            if n.tag not in INLINE:
+                flush()
+                todo.append((None, False))
+            # Loose text beside a marked article belongs to no element that could recur.
+            bare = inside or not marked or id(n) not in over
+            todo.extend((c, inside) for c in reversed(n.children) if bare or isinstance(c, Node))
+    flush()
     return "\n\n".join(blocks)
 
 
-def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur on at least ``min_pages`` different pages and that share of the host's."""
+def countable(html: str | None) -> tuple[set[int], set[int]]:
+    """Of a page: the shapes and spots outside its article, and the digests of containers inside its content."""
+    root = parse(html or "")
+    order = hashed(root)
+    starts, marked = content_roots(root)
+    over, goals = around(order, starts), set(map(id, starts))
+    shapes: set[int] = set()
+    digests: set[int] = set()
+    todo = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or id(n) in goals
+        if n.tag in NEVER or n.tag in VOID:
+            continue
+        if id(n) not in over and id(n) not in goals:
+            if inside and n.tag in CONTAINERS:
+                digests.add(n.digest)
+            if (n.tag in CONTAINERS or not inside and n.tag not in INLINE) and not (inside and marked):
+                shapes.update((n.shape, n.spot))
+        todo.extend((c, inside) for c in n.children if isinstance(c, Node))
+    return shapes, digests
+
+
+def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """host, counted, hashes of every host: whether counts decide there, and its hashes that recur.
+
+    A hash recurs on at least ``min_pages`` different pages and that share of the host's, or, of shapes, on ``min_hosts`` hosts.
+    """
     rows = pages.select(url_host(F.col("url")).alias("host"), F.col("page_id").alias("page_id"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), "html")
     repeated = staged(rows.groupBy("host", "digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("host", "digest", "first"), "html-copies")
     side = F.broadcast(repeated) if repeated.count() <= BROADCAST_COPIES else repeated
     once = rows.join(side, ["host", "digest"], "left").where("first is null or first = page_id")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hosts, digests = [], []
+        for b in sliced(batches, SLICE):
+            hosts, kinds, digests = [], [], []
             for host, html in zip(*[c.to_pylist() for c in b.columns]):
-                found = {n.digest for n in hashed(parse(html or "")) if n.tag not in RAW and n.tag not in VOID and n.tag not in ("html", "head", "body", "article", "main")}
-                hosts += [host] * len(found)
-                digests += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "digest"])
-
-    counts = map_batches(once.select("host", "html"), subtrees, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sizes = once.groupBy("host").agg(F.count("*").alias("all_pages"))
-    often = counts.join(sizes, "host").where(F.col("pages") >= min_share * F.col("all_pages"))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("hashes"))
-
-
-def extract_text(pages: DataFrame, **options) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages``."""
-    templates = staged(site_templates(pages, **options), "html-templates")
-    size = templates.agg(F.sum(F.size("hashes"))).first()[0] or 0
+                shapes, texts = countable(html)
+                # Kind 0 is the page itself.
+                kinds += [0] + [1] * len(shapes) + [2] * len(texts)
+                digests += [0, *shapes, *texts]
+                hosts += [host] * (1 + len(shapes) + len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int8()), pa.array(digests, pa.int64())], ["host", "kind", "digest"])
+
+    counts = map_batches(once.select("host", "html"), subtrees, "host string, kind byte, digest long").groupBy("host", "kind", "digest").agg(F.count("*").alias("pages"))
+    counts = staged(counts.where((F.col("kind") < 2) | (F.col("pages") >= min_pages)), "html-counts")
+    sizes = counts.where("kind = 0").select("host", F.col("pages").alias("all_pages"))
+    many = sizes.limit(min_hosts).count() >= min_hosts
+    pooled = counts.where("kind = 1").groupBy("digest").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts)
+    recurs = (F.col("pages") >= F.greatest(F.lit(min_pages), min_share * F.col("all_pages"))) | F.col("hosts").isNotNull()
+    often = counts.where("kind > 0").join(sizes, "host").join(pooled, "digest", "left").where(recurs).groupBy("host").agg(F.collect_set("digest").alias("hashes"))
+    out = staged(sizes.join(often, "host", "left").select("host", (F.lit(many) | (F.col("all_pages") >= min_pages)).alias("counted"), "hashes"), "html-templates")
+    forget(repeated, counts)
+    return out
+
+
+def extract_text(pages: DataFrame, templates: DataFrame | None = None, **options) -> DataFrame:
+    """page_id, url, text and n_chars of every row of ``pages``; ``templates``: of ``site_templates``, else made of ``pages``."""
+    templates = site_templates(pages, **options) if templates is None else templates
+    size = templates.agg(F.sum(1 + F.coalesce(F.size("hashes"), F.lit(0)))).first()[0] or 0
     side = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
-    rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(side, "host", "left").select("page_id", "url", "html", "host", "hashes")
+    rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(side, "host", "left").select("page_id", "url", "html", "host", "hashes", "counted")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, frozenset[int]] = {}
-        for b in batches:
+        for b in sliced(batches, SLICE):
             texts = []
-            for html, host, hashes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+            for html, host, hashes, counted in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5).to_pylist()):
                 if host not in seen:
                     if len(seen) > 1000:
                         seen.clear()
                     seen[host] = frozenset(hashes.as_py() or ())
-                texts.append(main_text(html, seen[host]))
+                texts.append(main_text(html, seen[host], bool(counted)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = rows.withColumn("page_id", F.col("page_id").cast("long"))
