@@ -35,20 +35,33 @@ class LineRules:
     max_separator_share: float = 0.25
     max_shout_share: float = 0.3
     caps_line_words: int = 5
-    #: Only shorter lines can be boilerplate; a long line that names a licence is prose.
+    #: Only shorter lines can be boilerplate; a long line that names a licence is prose. The phrases are English, French,
+    #: German and Spanish.
     boilerplate_line_chars: int = 250
     #: A line passes if a sentence ends in it: one of these, closing quotes and brackets aside, before a space or the end.
     terminal: str = ".!?…。！？।؟:;"
     closing: str = "\"'”’»)\\]"
     separators: str = "|»›→•·"
     boilerplate: str = (
-        r"(?i)©|\b(?:all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|"
+        r"(?iu)©|\b(?:all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|"
         r"we use cookies|accept (?:all )?cookies|enable javascript|copyright \d{4}|subscribe to our newsletter|"
-        r"click here to|sign up for our|powered by|lorem ipsum)"
+        r"click here to|sign up for our|powered by|lorem ipsum|"
+        r"tous droits réservés|mentions légales|politique de confidentialité|conditions générales d|"
+        r"nous utilisons des cookies|accepter (?:tous )?les cookies|abonnez-vous|cliquez ici|publié sous licence|"
+        r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|wir verwenden cookies|"
+        r"(?:alle )?cookies akzeptieren|newsletter abonnieren|hier klicken|lizenziert unter|veröffentlicht unter der|"
+        r"todos los derechos reservados|aviso legal|política de (?:privacidad|cookies)|términos (?:y condiciones|de uso)|"
+        r"(?:usamos|utilizamos) cookies|aceptar (?:todas )?las cookies|suscríbete|haz clic aquí|publicado bajo licencia)"
     )
     navigation: str = (
-        r"(?i)^\s*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back to top|read more|"
-        r"share( this)?|tweet|contact( us)?|about( us)?|sitemap|skip to content)\s*$"
+        r"(?iu)^\s*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back to top|read more|"
+        r"share( this)?|tweet|contact( us)?|about( us)?|sitemap|skip to content|"
+        r"accueil|rechercher?|connexion|se connecter|s['’]inscrire|suivant|précédent|retour en haut|lire la suite|"
+        r"partager|à propos|plan du site|aller au contenu|"
+        r"startseite|menü|suchen?|anmelden|registrieren|weiter(lesen)?|zurück|nach oben|mehr lesen|teilen|kontakt|"
+        r"über uns|impressum|datenschutz|zum inhalt springen|"
+        r"inicio|menú|buscar|iniciar sesión|registrarse|siguiente|anterior|volver arriba|leer más|compartir|contacto|"
+        r"sobre nosotros|mapa del sitio|ir al contenido)\s*$"
     )
 
 
@@ -138,17 +151,16 @@ def quality_rules(docs: DataFrame, rules: LineRules = DEFAULT, text: str = "text
             "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
         }
     )
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost_share * F.col("n_words")))
+    # The row number, which depends on where a row stands, keeps the optimizer from pushing a filter on ``kept`` below the
+    # columns that it is made of, where their expressions would be written out once for every use.
+    here = F.monotonically_increasing_id() >= 0
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost_share * F.col("n_words")) & here)
     return df.drop("_t", "_w", "_lines", "_full", "_faults")
 
 
 def cleaned_documents(docs: DataFrame, rules: LineRules = DEFAULT, text: str = "text") -> DataFrame:
-    """The documents that are kept, with ``clean_text``.
-
-    The row number in the condition keeps the optimizer from pushing the filter below the columns that it is made of,
-    where their expressions would be written out once for every use.
-    """
-    return quality_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+    """The documents that are kept, with ``clean_text``."""
+    return quality_rules(docs, rules, text).where("kept")
 
 
 def quality_report(docs: DataFrame, rules: LineRules = DEFAULT) -> DataFrame:

@@ -111,7 +111,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < {warc.M
 def _quality_sql(rules: quality_rules.LineRules = quality_rules.DEFAULT) -> str:
     """Line rules and statistics in SQL; lines and windows become rows."""
     word, ends = "[^ \\t\\n\\x0B\\f\\r]+", "[ \\t\\n\\x0B\\f\\r]"
-    quoted = lambda x: x.replace("'", "''")
+    quoted = lambda x: x.replace("'", "''").replace("(?iu)", "(?i)")
     marks = "".join("\\" + c if c in "#*$&|" else c for c in quality_rules.SYMBOLS)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
