@@ -1,10 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits in lower case. Seeds, hashes of ``SEED_WORDS`` words, join
-documents with benchmark items: an item gives a seed at each word, a document at every ``STRIDE``-th word, which
+documents with benchmark items: an item gives a seed at each word, a document at every ``stride``-th word, which
 misses no match of ``min_match`` words or more. Each (document, item) pair that shares a seed is tiled: running
 Karp-Rabin hashes find the longest common runs of unmarked words, the longest is marked in both texts, and so on until
-no run of ``min_match`` words is left. Tiles do not overlap but may stand in any order, so reordered passages count.
+no run of ``min_match`` words is left. A tile of L words holds a document seed for every ``words_per_seed`` of its words
+at least, so pairs that share too few seed places for tiles of ``min_coverage`` are passed over before texts are joined;
+no pair that leaks is lost by it. Tiles do not overlap but may stand in any order, so reordered passages count.
 A document leaks an item if its tiles cover at least ``min_coverage`` of the item's words.
 
 Defined results: null or empty texts share nothing; an item shorter than ``min_match`` words is matched whole, as one
@@ -26,7 +28,6 @@ from quire.llm.common import map_batches, staged
 
 MIN_MATCH = 6
 SEED_WORDS = 4
-STRIDE = MIN_MATCH - SEED_WORDS + 1
 MIN_COVERAGE = 0.5
 #: Seed tables of up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
@@ -46,6 +47,16 @@ def seeds(word_array: Column, step: int) -> Column:
     return F.when(whole, F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.xxhash64(F.slice(word_array, i, SEED_WORDS)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def stride(min_match: int) -> int:
+    """How far a document's seeds may stand apart for every match of ``min_match`` words to hold one."""
+    return max(1, min_match - SEED_WORDS + 1)
+
+
+def words_per_seed(min_match: int) -> int:
+    """The most words of a tile for each of its document seeds: one more word and it would hold another seed."""
+    return 2 * stride(min_match) + SEED_WORDS - 2
+
+
 def _windows(w: np.ndarray, length: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows, from running sums."""
     up = np.cumprod(np.full(len(w), BASE, np.uint64))
@@ -103,18 +114,23 @@ def tiles(doc: list[str], item: list[str], min_match: int = MIN_MATCH) -> list[t
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, digest, item_id, coverage, tiles, tile_words and longest of every (document, item) pair that leaks."""
-    items = benchmark.select("item_id", F.md5(F.col("text").cast("binary")).alias("item_digest"), normal_words(F.col("text")).alias("_iw")).where(F.size("_iw") > 0)
-    known = staged(items.select("item_id", "item_digest", F.explode(F.array_distinct(seeds(F.col("_iw"), 1))).alias("seed")), "leak-seeds")
+    named = benchmark.select("item_id", F.md5(F.col("text").cast("binary")).alias("item_digest"), normal_words(F.col("text")).alias("_iw")).where(F.size("_iw") > 0)
+    items = named.dropDuplicates(["item_digest"]).select("item_digest", "_iw")
+    size = F.size("_iw")
+    need = F.when(size < min_match, 1).otherwise(F.greatest(F.lit(1), F.ceil(size * min_coverage / words_per_seed(min_match)))).cast("long")
+    known = staged(items.select("item_digest", need.alias("need"), F.explode(F.array_distinct(seeds(F.col("_iw"), 1))).alias("seed")), "leak-seeds")
     rows = docs.select(F.col("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), normal_words(F.col("text")).alias("_w"))
     # Items under the seed's length are one seed of their own size; documents then need every start of that size.
-    sizes = [r["n"] for r in items.where(F.size("_iw") < min_match).select(F.size("_iw").alias("n")).distinct().collect()]
-    found = seeds(F.col("_w"), STRIDE)
+    sizes = [r["n"] for r in items.where(size < min_match).select(size.alias("n")).distinct().collect()]
+    found = seeds(F.col("_w"), stride(min_match))
     for n in sizes:
         found = F.concat(found, F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, min(n, SEED_WORDS))))).otherwise(F.array().cast("array<bigint>")))
     spread = rows.select("doc_id", "digest", F.explode(found).alias("seed"))
     side = F.broadcast(known) if known.count() <= BROADCAST_SEEDS else known
-    # The rows of a document stay together up to here, so most of its pairs become one before the shuffle.
-    pairs = staged(spread.join(side, "seed").select("doc_id", "digest", "item_id", "item_digest").distinct(), "leak-pairs")
+    # The rows of a document stay together up to here, so most of its pairs become one before the shuffle. A seed is in
+    # an item's list once, so the rows of a pair are the document's places that it shares.
+    pairs = spread.join(side, "seed").groupBy("doc_id", "digest", "item_digest").agg(F.count("*").alias("places"), F.first("need").alias("need"))
+    pairs = staged(pairs.where("places >= need").select("doc_id", "digest", "item_digest"), "leak-pairs")
     wanted = pairs.select("digest").distinct()
     n = wanted.count()
     wanted = F.broadcast(wanted) if n <= BROADCAST_SEEDS else wanted
@@ -132,11 +148,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
             yield pa.RecordBatch.from_pylist(out, types)
 
     # Equal texts, of documents and of items, are tiled once; digests are never null, item ids may be.
-    item_texts = items.dropDuplicates(["item_digest"]).select("item_digest", "_iw")
-    work = pairs.select("digest", "item_digest").distinct().join(texts, "digest").join(item_texts, "item_digest").select("digest", "item_digest", "_w", "_iw")
+    work = pairs.select("digest", "item_digest").distinct().join(texts, "digest").join(items, "item_digest").select("digest", "item_digest", "_w", "_iw")
     verdicts = map_batches(work, tile, "digest string, item_digest string, coverage double, tiles int, tile_words long, longest long")
     verdicts = staged(verdicts, "leak-verdicts")
-    return pairs.join(verdicts, ["digest", "item_digest"]).select("doc_id", "digest", "item_id", "coverage", "tiles", "tile_words", "longest")
+    ids = named.select("item_id", "item_digest").distinct()
+    return pairs.join(verdicts, ["digest", "item_digest"]).join(ids, "item_digest").select("doc_id", "digest", "item_id", "coverage", "tiles", "tile_words", "longest")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
