@@ -2,12 +2,12 @@
 
 Sources share the wanted total by weight; a source whose share exceeds ``max_epochs`` times its size is clamped there
 and the excess goes to the others by weight, again and again until nothing exceeds. Each source then takes all its
-documents a whole number of times and a seeded part of them once more: documents are ordered by an MD5 of seed and id,
-and those whose middle lies below the fractional target are taken. That cut is found by sums over the first three and
+documents a whole number of times and a seeded part of them once more: documents are ordered by an MD5 of seed, id and
+the MD5 of their text, so an id that many rows share (or null) is no hot key, and those whose middle lies below the fractional target are taken. That cut is found by sums over the first three and
 the next three hex digits of the MD5 (4096 cells each), so no source is ever sorted in one task: only the documents of
 one cell of one cell are ordered, and the driver sees two numbers a round.
 
-Defined results: a null text has size 0; null is a source of its own and comes last; a null id hashes as empty text;
+Defined results: a null text has size 0; null is a source of its own and comes last; a null id and a null text hash as empty ones;
 repeated rows are ordered side by side and decided one by one; a source without words gets target 0; an empty table
 gives an empty result; columns of the input named like an output column are replaced by it.
 """
@@ -69,7 +69,8 @@ def _cut(sums: DataFrame, start: Column, names: tuple[str, str]) -> DataFrame:
 def mix(docs: DataFrame, *, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """All of ``docs`` with size, source_size, target and ``copies``, the times that the mix takes the document."""
     given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
     base = docs.select(*given, F.size(words(F.col("text"))).cast("long").alias("size"), hashed.alias("_h"))
     facts = staged(base.select("source", "doc_id", "size", "_h"), "mix-rows")
     cell = lambda k: F.substring("_h", 1 + k * DIGITS, DIGITS)
@@ -117,7 +118,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS w,
