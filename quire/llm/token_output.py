@@ -5,8 +5,9 @@ tokens), then a fixed trailer with the counts and the SHA-256 of the dictionary.
 Rows are range-sorted by doc id, each task writes one shard under a temporary name and renames it when complete, and
 the manifest of finished shards is a Parquet table beside them: a lost executor repeats its shard and nothing else.
 
-The dictionary is trained on a bounded sample: about ``DICTIONARY_DOCS`` documents chosen by a hash of their id, of
-a longer document the first ``DICTIONARY_PIECE`` bytes of its ids. All documents are encoded and written whole.
+The dictionary is trained on a bounded sample: about ``DICTIONARY_DOCS`` documents chosen by a hash of id and text, at
+most half as many more, and of each at most ``DICTIONARY_PIECE`` bytes of ids, in pieces from all over a longer one. All
+documents are encoded and written whole.
 
 Defined results: a null or empty text has the end id alone; null ids sort first; rows that share an id are ordered by
 their text and each keeps its own entry; an empty table writes no shard and gives an empty result; only the id and
@@ -38,17 +39,25 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("byt
 DICTIONARY_DOCS = 1000
 DICTIONARY_PIECE = 32 * 1024
 DICTIONARY_BYTES = 112 * 1024
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 600_000
 SHARD_SCHEMA = "shard int, file string, n_docs long, n_tokens long, bytes long, sha256 string"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def breaks_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizers file is byte-level with the usual pattern, leaves texts as they are and matches no added token over a space."""
+    kind = tokenizer.get("pre_tokenizer") or {}
+    usual = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    loose = [t for t in tokenizer.get("added_tokens") or () if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"])]
+    return bool(usual and not tokenizer.get("normalizer") and not loose)
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file, each space-separated piece once while it stays in a bounded cache.
 
     The byte-level pre-tokenizer always breaks before a single space and around a single line break between visible
     characters, so the ids of such pieces can be joined. Texts with any other white space at a piece's edge are
-    encoded as a whole.
+    encoded as a whole, and so are all texts where the file's tokenizer does not break in that way.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -58,9 +67,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_pieces = cache_pieces
+        self.pieces = breaks_at_spaces(json.loads(self.tokenizer.to_str()))
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
-        self.marks = dict(zip(".,\n", self._fresh([*".,\n"])))
+        self.marks = dict(zip(".,\n", self._fresh([*".,\n"]))) if self.pieces else {}
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
@@ -105,6 +115,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
+        if not self.pieces:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if t else b"" for t in texts]
         if len(self.inner) + len(self.first) > self.cache_pieces:
             self.inner.clear()
             self.first.clear()
@@ -130,9 +142,17 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and file; its cache outlives the task."""
+    """One encoder for each worker process and file; its cache outlives the task.
+
+    Where the driver's path is not on this machine, the installed file of that name is taken.
+    """
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        here = path
+        if not os.path.exists(here):
+            import public_tokenizers
+
+            here = public_tokenizers.path(os.path.basename(path))
+        _encoders[path] = PieceEncoder(here)
     return _encoders[path]
 
 
@@ -141,23 +161,33 @@ def _batches(rows: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
         yield rows.slice(at, size)
 
 
+def _spread(ids: bytes) -> bytes:
+    """Up to ``DICTIONARY_PIECE`` bytes in four pieces from all over a document's ids."""
+    if len(ids) <= DICTIONARY_PIECE:
+        return ids
+    step, piece = (len(ids) - DICTIONARY_PIECE // 4) // 3 & ~3, DICTIONARY_PIECE // 4
+    return b"".join(ids[k * step : k * step + piece] for k in range(4))
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> bytes:
     """A zstandard dictionary from the bounded sample; empty where there is nothing to learn from."""
     import zstandard
 
     total = docs.count()
     share = min(1.0, DICTIONARY_DOCS / max(total, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", "text")
+    mark = F.xxhash64("doc_id", "text")
+    sample = docs.where(F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(mark.alias("mark"), F.col("text").cast("string").alias("text"))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for big in batches:
             for b in _batches(big):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(x + end)[:DICTIONARY_PIECE] for x in enc.encode(b.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(x + end) for x in enc.encode(b.column(1).to_pylist())], pa.binary())], ["mark", "ids"])
 
-    rows = map_batches(sample, serialized, "doc_id long, ids binary").collect()
-    samples = [bytes(r["ids"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]))]
+    # Repeated rows share a mark, so the sample's size has a bound of its own.
+    rows = map_batches(sample, serialized, "mark long, ids binary").orderBy("mark", "ids").limit(DICTIONARY_DOCS * 3 // 2).collect()
+    samples = [bytes(r["ids"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples: their bytes are the dictionary
