@@ -8,6 +8,9 @@ node ever reaches the driver. Leaves are as many as the target bytes ask for, an
 
 Places within a shard come from one range sort and counts by (shard, partition), so no task has to hold a shard.
 
+Equal texts with equal metadata are neighbours and part only where a cut falls among them: a group of copies may
+outweigh a shard, so groups are not kept whole against the law of near equal bytes.
+
 Defined results: a null text counts one byte and has checksum 0; null metadata have coordinate 0; repeated rows are
 all placed; a single row that outweighs a shard leaves some shards empty; an empty table gives an empty result; only
 the id, text and dimension columns are read, so other columns cannot clash.
@@ -84,7 +87,9 @@ def kd_shards(docs: DataFrame, dimensions: list[str], *, shards: int | None = No
     total = meta.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, math.ceil(total / (target_bytes or 256 << 20)))
     keys = _coordinates(meta, [f"_d{i}" for i in range(len(dimensions))])
-    rows = meta.select("doc_id", "size", "text_crc32", F.lit(0).alias("node"), F.array(*keys).alias("_keys"))
+    # A literal root would turn the joins on it into nested loops; sizes are at least 1.
+    root = F.least("size", F.lit(0)).cast("int")
+    rows = meta.select("doc_id", "size", "text_crc32", root.alias("node"), F.array(*keys).alias("_keys"))
     count, level = {0: shards}, 0
     while total and any(n > 1 for n in count.values()):
         spans = [(F.max(F.col("_keys")[i]) - F.min(F.col("_keys")[i])).alias(f"s{i}") for i in range(len(dimensions))]
