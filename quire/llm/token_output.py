@@ -24,6 +24,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("byt
 DICTIONARY_DOCS = 1000
 DICTIONARY_PIECE = 32 * 1024
 DICTIONARY_BYTES = 112 * 1024
+#: Pieces that a worker remembers: about 200 bytes each. Fewer take less memory and more time.
 CACHE_PIECES = 600_000
 SHARD_SCHEMA = "shard int, file string, n_docs long, n_tokens long, bytes long, sha256 string"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -118,8 +120,9 @@ class PieceEncoder:
         if not self.pieces:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if t else b"" for t in texts]
         if len(self.inner) + len(self.first) > self.cache_pieces:
-            self.inner.clear()
-            self.first.clear()
+            # Frequent pieces come early, so the older half is worth more than the newer one.
+            self.inner = dict(islice(self.inner.items(), len(self.inner) // 2))
+            self.first = dict(islice(self.first.items(), len(self.first) // 2))
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         self._learn_first({s[0] for s in split if s and s[0] not in self.first})
         missing: set[str] = set()
@@ -138,22 +141,22 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder for each worker process and file; its cache outlives the task.
 
     Where the driver's path is not on this machine, the installed file of that name is taken.
     """
-    if path not in _encoders:
+    if (path, cache_pieces) not in _encoders:
         here = path
         if not os.path.exists(here):
             import public_tokenizers
 
             here = public_tokenizers.path(os.path.basename(path))
-        _encoders[path] = PieceEncoder(here)
-    return _encoders[path]
+        _encoders[path, cache_pieces] = PieceEncoder(here, cache_pieces)
+    return _encoders[path, cache_pieces]
 
 
 def _batches(rows: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def _spread(ids: bytes) -> bytes:
     return b"".join(ids[k * step : k * step + piece] for k in range(4))
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> bytes:
     """A zstandard dictionary from the bounded sample; empty where there is nothing to learn from."""
     import zstandard
 
@@ -179,7 +182,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> b
     sample = docs.where(F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(mark.alias("mark"), F.col("text").cast("string").alias("text"))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache_pieces)
         end = np.array([end_id], enc.dtype).tobytes()
         for big in batches:
             for b in _batches(big):
@@ -204,9 +207,9 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=3, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0) -> tuple[DataFrame, bytes]:
+def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> tuple[DataFrame, bytes]:
     """Writes all rows of ``docs`` in ascending id order under ``out``; the manifest (one row a shard) and the dictionary."""
-    dictionary = train_dictionary(docs, tokenizer_path, end_id)
+    dictionary = train_dictionary(docs, tokenizer_path, end_id, cache_pieces)
     store, root = filesystem(out)
     store.create_dir(root, recursive=True)
     digest = hashlib.sha256(dictionary).digest()
@@ -217,7 +220,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache_pieces)
         pack, _ = _codec(dictionary)
         end = np.array([end_id], enc.dtype).tobytes()
         store, root = filesystem(out)
@@ -318,9 +321,9 @@ def read_shards(manifest: DataFrame, out: str, dictionary: bytes) -> DataFrame:
     return map_batches(files, read, ROW_SCHEMA)
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = 0) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Writes all of ``docs`` and returns what the files hold."""
     spark: SparkSession = docs.sparkSession
     out = out or fresh_path(spark, "tokens")
-    manifest, dictionary = write_shards(docs, tokenizer_path, out, end_id)
+    manifest, dictionary = write_shards(docs, tokenizer_path, out, end_id, cache_pieces)
     return read_shards(manifest, out, dictionary)
