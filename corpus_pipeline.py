@@ -13,6 +13,10 @@ from quire.llm.common import staged, table
 from quire.llm.queries import tokenizer_path
 
 
+#: Pieces that a token worker remembers; fewer than by default, as executors still hold what earlier stages left.
+CACHE_PIECES = 250_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
     rows = quality_rules.cleaned_documents(docs)
@@ -36,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token files; a row for each document in them."""
-    return token_output.token_output(docs, tokenizer_path())
+    return token_output.token_output(docs, tokenizer_path(), cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
