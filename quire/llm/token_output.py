@@ -24,7 +24,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -88,25 +88,42 @@ class PieceEncoder:
                 self.first[p] = None
         self.first.update(zip(sound, self._fresh(sound)))
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only, each after a space: many are encoded in one text, where each is one pre-token."""
+        width = self.dtype.itemsize
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            place = np.array(e.word_ids)
+            if len(place) and place[-1] + 1 != len(part):  # the file knows another set of letters
+                self.inner.update(zip(part, self._fresh([" " + p for p in part])))
+                continue
+            ends = np.searchsorted(place, np.arange(len(part) + 1)) * width
+            ids = np.array(e.ids, self.dtype).tobytes()
+            self.inner.update(zip(part, [ids[x:y] for x, y in pairwise(ends.tolist())]))
+
     def _learn_inner(self, pieces: Iterable[str]) -> None:
         """Pieces after a space or, where they begin with one, a line break.
 
         A letter and the full stop or comma after it never share a token, so the word is learned alone and the mark is
         added to it.
         """
-        inner, words, marked, lines = self.inner, set(), [], []
+        inner, words, others, marked, lines = self.inner, set(), set(), [], []
         for p in pieces:
-            if p[:1] == "\n":
+            if p.isalpha():
+                words.add(p)
+            elif p[:1] == "\n":
                 lines.append(p)
             elif not p or p[0].isspace() or p[-1].isspace():
                 inner[p] = None
             elif p[-1] in ".," and p[-2:-1].isalpha():
                 marked.append(p)
                 if p[:-1] not in inner:
-                    words.add(p[:-1])
+                    (words if p[:-1].isalpha() else others).add(p[:-1])
             else:
-                words.add(p)
-        new = sorted(words)
+                others.add(p)
+        self._learn_words(list(words))
+        new = list(others)
         inner.update(zip(new, self._fresh([" " + p for p in new])))
         for p in marked:
             inner[p] = inner[p[:-1]] + self.marks[p[-1]]
@@ -124,18 +141,19 @@ class PieceEncoder:
             self.inner = dict(islice(self.inner.items(), len(self.inner) // 2))
             self.first = dict(islice(self.first.items(), len(self.first) // 2))
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        self._learn_first({s[0] for s in split if s and s[0] not in self.first})
-        missing: set[str] = set()
+        starts = [s.pop(0) if s else None for s in split]
+        self._learn_first({p for p in starts if p is not None and p not in self.first})
+        found: set[str] = set()
         for s in split:
-            missing.update([p for p in set(s[1:]) if p not in self.inner])
-        self._learn_inner(missing)
-        out = []
-        for t, s in zip(texts, split):
-            if not s:
+            found.update(s)
+        self._learn_inner(found.difference(self.inner))
+        out, ids = [], self.inner.__getitem__
+        for t, start, s in zip(texts, starts, split):
+            if start is None:
                 out.append(b"")
                 continue
             try:
-                out.append(self.first[s[0]] + b"".join([self.inner[p] for p in s[1:]]))
+                out.append(self.first[start] + b"".join(map(ids, s)))
             except TypeError:  # a piece with white space at its edge
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
         return out
