@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("libs", "info", "reindex", "path", "unread", "links", "mine", "audit"):
         add(name)
     add("ls", *filters, "--sort", "--limit", sort={"default": "level"}, **numbers)
-    add("search", "query", *filters, "--limit", "--stem", stem={"action": "store_true"}, **numbers)
+    add("search", "query", *filters, "--limit", "--exact", exact={"action": "store_true"}, **numbers)
     add("show", "keys", "--brief", keys=many, brief={"action": "store_true"})
     add("abstract", "key")
     add("note", "key", "text", "--append", append={"action": "store_true"})
@@ -69,7 +69,7 @@ def _run(a: argparse.Namespace, spark) -> None:
         "mine": lambda: _mined(lib),
         "audit": lambda: maintain.audit(lib.entries(), _this_year()),
         "ls": lambda: lib.ls(**keep).select("key", "level", "year", "status", "title"),
-        "search": lambda: lib.search(a.query, stem=a.stem, **keep),
+        "search": lambda: lib.search(a.query, stem=not a.exact, **keep),
         "show": lambda: lib.show(*a.keys, brief=a.brief),
         "abstract": lambda: lib.get(a.key).select("key", "abstract"),
         "cite": lambda: lib.cite(*a.keys, form=a.form, **keep),

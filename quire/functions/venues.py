@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,25 +121,42 @@ def let(value: Column, function) -> Column:
     return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
-#: Named character references that decode to one Latin-1 character, the few that bibliographic records carry.
-_NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items() if code < 0x100 and name != "amp"}
+#: All named character references of HTML that end in a semicolon, as one constant that the optimizer folds to a map.
+_NAMED = json.dumps({name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")})
+#: Numbers 128 to 159 stand for what Windows' code page has there.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 EDGE = " ,;:."
 
 
+def _character(code: Column) -> Column:
+    """The character of a number as HTML reads it: none for controls, the replacement character outside Unicode."""
+    utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    windows = F.try_element_at(F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair]), code.cast("int"))
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(128, 159), windows)
+        .when((code < 32) & ~code.isin(9, 10, 12, 13) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE), "")
+        .otherwise(utf32)
+    )
+
+
 def unescaped(text: Column) -> Column:
-    """Decodes the named Latin-1 references and decimal ones of ASCII and Latin-1; an ampersand comes last."""
-    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    """Decodes every named and numbered character reference that ends in a semicolon, once."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
 
     def decoded(piece: Column, i: Column) -> Column:
         return F.when(i == 0, piece).otherwise(let(F.substring_index(piece, ";", 1), lambda name: replaced(piece, name)))
 
     def replaced(piece: Column, name: Column) -> Column:
         rest = F.substring(piece, F.length(name) + 2, F.length(piece))
-        number = F.when(name.rlike(r"^#\d{1,3}$"), F.substring(name, F.lit(2), F.lit(9)).try_cast("int")).when(name.rlike("^#[xX][0-9a-fA-F]{1,2}$"), F.conv(F.substring(name, F.lit(3), F.lit(9)), 16, 10).try_cast("int"))
-        value = F.coalesce(F.when(number.between(32, 255), F.char(number)), F.when(name == "amp", F.lit("&")), F.try_element_at(named, name))
+        digits = F.when(name.rlike(r"^#\d+$"), F.regexp_replace(name, "^#0*(?=.)", "")).when(name.rlike("^#[xX][0-9a-fA-F]+$"), F.regexp_replace(name, "^#[xX]0*(?=.)", ""))
+        # Longer numbers are beyond Unicode in any case.
+        digits = F.when(F.length(digits) > 8, "99999999").otherwise(digits)
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        value = F.when(F.startswith(name, F.lit("#")), let(code, _character)).otherwise(F.try_element_at(named, name))
         return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece))
 
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, r"&(?=#?\w{1,8};)"), decoded), "")).otherwise(t))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, r"&(?=#?\w{1,32};)"), decoded), "")).otherwise(t))
 
 
 def without_tags(text: Column) -> Column:

@@ -16,6 +16,9 @@ from quire.schema import SCHEMA_VERSION
 from quire.sources import entryfiles, files
 from quire.sources.storage import staged
 
+#: How the stored terms of an index are made; another number rebuilds it.
+TERMS = 1
+
 
 class Library:
     """``entries/*.md`` under a folder are the truth; ``index`` is derived and can be rebuilt."""
@@ -79,7 +82,11 @@ class Library:
         return searching.listed(self.entries(), **options)
 
     def search(self, query: str, **options) -> DataFrame:
-        return searching.search(self.indexed(), query, **options)
+        """The best entries; word forms do not matter unless ``stem=False``, which searches without the stored terms."""
+        rows = self.indexed()
+        if options.get("stem") is not False:
+            options["index"] = searching.Index.load(self.spark, f"{self.folder}/index/v{self._manifest()['version']}-terms")
+        return searching.search(rows, query, **options)
 
     def show(self, *keys: str, brief: bool = False) -> DataFrame:
         return export.card(self.get(*keys), brief=brief)
@@ -131,7 +138,7 @@ class Library:
             return {}
         with store.open_input_stream(f"{path}/index/manifest.json") as f:
             found = json.loads(f.read())
-        return found if found.get("schema") == SCHEMA_VERSION else {}
+        return found if found.get("schema") == SCHEMA_VERSION and found.get("terms") == TERMS else {}
 
     def indexed(self) -> DataFrame:
         """The index table, brought up to date first."""
@@ -153,9 +160,11 @@ class Library:
         else:
             rows, changed = now, None
         rows.write.mode("overwrite").parquet(f"{self.folder}/index/v{version}")
+        fields = searching.entry_fields(self.spark.read.parquet(f"{self.folder}/index/v{version}"))
+        searching.Index.build(fields, searching.FIELD_WEIGHTS, positions=True, fold=True, stem=True).save(f"{self.folder}/index/v{version}-terms")
         store, path = files.opened(self.folder)
         with store.open_output_stream(f"{path}/index/manifest.json") as f:
-            f.write(json.dumps({"schema": SCHEMA_VERSION, "version": version}).encode())
+            f.write(json.dumps({"schema": SCHEMA_VERSION, "terms": TERMS, "version": version}).encode())
         return self.spark.read.parquet(f"{self.folder}/index/v{version}").count() if changed is None else changed
 
     # -- exchange --------------------------------------------------------------------------------------------

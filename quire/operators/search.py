@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.identifiers import ascii_fold, latin_fold
+from quire.functions.stemming import porter_stems
 from quire.schema import LEVELS
 
 # Words that searches drop, the weights of an entry's fields, BM25's constants.
@@ -62,10 +63,10 @@ def entry_fields(entries: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column, *, fold: bool = False, stem: bool = False, token: str = TOKEN) -> Column:
-    """The terms of a text in order; with ``fold`` without accents and in any script, with ``stem`` as stems."""
+    """The terms of a text in order; with ``fold`` without accents and in any script, with ``stem`` as Porter's stems."""
     text = F.translate(ascii_fold(text), _MORE_FROM, _MORE_TO) if fold else F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(F.lower(text), F.lit(FOLDED_TOKEN if fold and token == TOKEN else token), F.lit(1))
-    return F.transform(found, stemmed) if stem else found
+    return porter_stems(found) if stem else found
 
 
 class Index:
@@ -126,14 +127,6 @@ class Index:
         return rows.groupBy("key").agg((-F.sum(part)).alias("score"))
 
 
-def stemmed(terms: Column) -> Column:
-    """A light English stem by rules (plural, -ing, -ed, -ly): searches that ask for it match word forms."""
-    t = F.regexp_replace(terms, r"(?<=[a-z]{2})(?:sses)$", "ss")
-    t = F.regexp_replace(t, r"(?<=[a-z]{2})ies$", "i")
-    t = F.regexp_replace(t, r"(?<=[a-z]{2}[^s])s$", "")
-    return F.regexp_replace(F.regexp_replace(t, r"(?<=[aeiouy][a-z]{1,9})(?:ing|ed|ly)$", ""), r"([b-df-hj-np-rtv-xz])\1$", "$1")
-
-
 def level_rank(level: Column) -> Column:
     """A* 0 to unranked 4; null as unranked, anything else 5."""
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce(level, F.lit("unranked"))), F.lit(0).cast("long")) - 1, F.lit(5).cast("long")).cast("int")
@@ -167,10 +160,10 @@ def listing_score(level: Column, year: Column) -> Column:
 
 
 def search(entries: DataFrame, query: str, *, limit: int = 20, index: Index | None = None, stem: bool | None = None, **filters) -> DataFrame:
-    """key, title, score of the best entries, ties by key. Accents do not matter; with ``stem`` word forms do not either."""
+    """key, title, score of the best entries, ties by key. Accents and word forms do not matter; with ``stem=False`` forms do."""
     if index and stem is not None and stem != index.stem:
         raise ValueError("the index was built with another stem option")
-    fold, stem = (index.fold, index.stem) if index else (True, bool(stem))
+    fold, stem = (index.fold, index.stem) if index else (True, stem is not False)
     phrases, terms = query_parts(query, FOLDED_QUERY_WORD if fold else QUERY_WORD)
     kept = matching(entries, **filters)
     if not phrases and not terms:

@@ -18,6 +18,7 @@ from quire.operators import citations, export, identity, maintain, quality, rank
 from quire.operators import search as searching
 
 AS_OF = 2002
+WORD_FORMS = ("things", "theres", "ered", "Où")
 BM25_TERMS = ["eran", "thing", "tionly", "erthe"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +105,27 @@ def bm25_fielded(spark, sf_dir):
     return _bm25(rows, {"title": 8.0, "body": 2.0})
 
 
+@query()
+def search_word_forms(spark, sf_dir):
+    """All documents that hold a form of one of four words, without regard to accents; SQL has no stemmer."""
+    index = searching.Index.build(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"text": 1.0}, key="doc_id", fold=True, stem=True)
+    words = spark.range(1).select(searching.tokens(F.lit(" ".join(WORD_FORMS)), fold=True, stem=True)).first()[0]
+    return index.scores(words).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, CAST(160 + (p_partkey * 37) % 50000 AS INTEGER) AS n FROM part)
+SELECT p_partkey, 'a' || chr(n) || 'b' || chr(n + 7) || CASE p_partkey % 4 WHEN 0 THEN '—' WHEN 1 THEN '’' WHEN 2 THEN 'é' ELSE '&unknown;' END || ' & ' || chr(128512) AS text FROM c"""
+)
+def html_references(spark, sf_dir):
+    """Numbered, hexadecimal and named character references of a whole table's rows, decoded."""
+    n = 160 + (F.col("p_partkey") * 37) % 50000
+    kind = F.get(F.array(*[F.lit(x) for x in ("&mdash;", "&rsquo;", "&eacute;", "&unknown;")]), (F.col("p_partkey") % 4).cast("int"))
+    raw = F.concat(F.lit("a&#"), n.cast("string"), F.lit(";b&#x"), F.hex(n + 7), F.lit(";"), kind, F.lit(" &amp; &#x1F600;"))
+    return _t(spark, sf_dir, "part").select("p_partkey", venues.unescaped(raw).alias("text"))
+
+
 @query(
     f"""SELECT item_id, array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: '"' || x || '"'), ' OR ') AS match
 FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_+#.-]*'), lambda x: length(x) > 1 AND lower(x) NOT IN ({", ".join(f"'{w}'" for w in sorted(searching.STOPWORDS))})) AS w FROM benchmark)"""

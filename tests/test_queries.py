@@ -22,7 +22,7 @@ def sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
