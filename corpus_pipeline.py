@@ -51,7 +51,8 @@ STAGES = [
     ("token output", token_ids),
 ]
 
-#: SQL cannot express the line rules, min-max hashing or the tokenizer; the tests hold run() against brute force.
+#: SQL cannot express the line rules, min-max hashing or the tokenizer; the tests hold run()
+#: against a plain version of the five stages.
 ORACLE_SQL = None
 
 
