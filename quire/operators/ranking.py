@@ -122,7 +122,8 @@ def enriched(candidates: DataFrame, records: DataFrame) -> DataFrame:
     ident = F.coalesce(F.nullif("doi", F.lit("")), F.nullif("arxiv_id", F.lit("")))
     pending = F.col("citation_count").isNull() | F.col("venue").isNull()
     rows = candidates.withColumn("_ident", F.when(pending, ident))
-    first = F.row_number().over(Window.partitionBy("_ident").orderBy("arrival"))
+    # Rows that need nothing have no identifier here and are dealt by arrival, not to one task.
+    first = F.row_number().over(Window.partitionBy("_ident", F.when(F.col("_ident").isNull(), F.col("arrival"))).orderBy("arrival"))
     rows = rows.withColumn("_mine", F.col("_ident").isNotNull() & (first == 1))
     r = records.select(F.col("work").alias("_work"), *[F.col(c).alias(f"_r_{c}") for c in ("citation_count", "venue", "year", "doi", "arxiv_id", "title_matched")])
     joined = rows.join(r, F.col("_mine") & (rows["_ident"] == r["_work"]), "left")

@@ -1,73 +1,25 @@
 """The registered queries of the bibliographic operators over the driver's tables, each beside the SQL of its result.
 
-The tables stand in for a library: documents are full texts (the first line is the title), orders are entries (the
-priority is the level, the date the year), line items are citations (an order cites a part), parts are cited works,
-conversations are sections, events are changes and requests. Every query reads its whole tables; limits are features.
+How the tables stand in for a library is in ``plans/tables.py``. Every query reads its whole tables; limits are features.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import documents as texts
 from quire.functions import identifiers, titles, venues
 from quire.operators import citations, export, identity, maintain, quality, ranking
 from quire.operators import search as searching
+from quire.plans import entry_queries  # noqa: F401  registers its queries
+from quire.plans.tables import ENTRIES, ORACLES, QUERIES, entries, query  # noqa: F401
+from quire.plans.tables import table as _t
 
 AS_OF = 2002
 WORD_FORMS = ("things", "theres", "ered", "Où")
 BM25_TERMS = ["eran", "thing", "tionly", "erthe"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _level(priority: Column) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in ("A*", "A", "B", "C", "unranked")]), F.substring(priority, 1, 1).cast("int") - 1)
-
-
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as entries; every eleventh customer's entries have no year."""
-    c = F.col
-    status = F.when(c("o_orderstatus") == "F", "verified").when(c("o_orderstatus") == "O", "unread").otherwise("UNVERIFIED")
-    return _t(spark, sf_dir, "orders").select(
-        c("o_orderkey").alias("key"), F.concat(F.lit("Order "), c("o_orderkey").cast("string")).alias("title"), _level(c("o_orderpriority")).alias("level"), F.when(c("o_custkey") % 11 != 0, F.year("o_orderdate")).alias("year"),
-        status.alias("status"), F.when(c("o_custkey") % 2 == 0, "journal article").otherwise("conference paper").alias("type"), F.split(F.lower(F.substring("o_orderpriority", F.lit(3), F.lit(20))), " ").alias("tags"),
-        c("o_custkey").alias("citation_count"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("added"),
-    )
-
-
-ENTRIES = """
-SELECT o_orderkey AS key, 'Order ' || o_orderkey AS title,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'A*' WHEN '2' THEN 'A' WHEN '3' THEN 'B' WHEN '4' THEN 'C' ELSE 'unranked' END AS level,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END AS lrank,
-  CASE WHEN o_custkey % 11 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
-  CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unread' ELSE 'UNVERIFIED' END AS status,
-  CASE WHEN o_custkey % 2 = 0 THEN 'journal article' ELSE 'conference paper' END AS type,
-  string_split(lower(substr(o_orderpriority, 3)), ' ') AS tags, o_custkey AS citation_count, strftime(o_orderdate, '%Y-%m-%d') AS added
-FROM orders
-"""
-
-
 def _bm25_sql(fields: str, weighted: str) -> str:
     terms = ", ".join(f"'{t}'" for t in BM25_TERMS)
     return f"""
@@ -262,16 +214,6 @@ def title_f1_match(spark, sf_dir):
     return identity.best_title_matches(q, c, threshold=0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    """WITH d AS (SELECT doc_id, substr(lower(regexp_replace(substr(text, 1, 400), '[^a-zA-Z0-9]+', '', 'g')), 1, 200) AS s FROM documents WHERE lang = 'en')
-SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY s) AS key FROM d WHERE s <> ''"""
-)
-def find_duplicate(spark, sf_dir):
-    """For each English document the first one with the same title slug."""
-    d = _t(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), F.substring("text", 1, 400).alias("title"))
-    return identity.find_duplicates(d.withColumnRenamed("key", "id"), d)
-
-
 # The text folded as ``identifiers.ascii_fold`` does it.
 _SLUG = f"substr(lower(regexp_replace(regexp_replace(translate(text, '{identifiers._FROM}', '{identifiers._TO}'), '\\p{{M}}+', '', 'g'), '[^a-zA-Z0-9]+', '', 'g')), 1, 200)"
 
@@ -282,7 +224,7 @@ UNION ALL SELECT doc_id, 'arxiv', CASE WHEN doc_id % 3 = 0 THEN 'doc/' || md5(ri
 UNION ALL SELECT doc_id, 'title', {_SLUG} FROM documents)
 SELECT id, min(first) AS key FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY kind, value) AS first FROM i WHERE value <> '') GROUP BY id"""
 )
-def find_duplicate_all(spark, sf_dir):
+def find_duplicate(spark, sf_dir):
     """For each document of any language the first one with its DOI, arXiv id or title slug.
 
     The texts hold no identifiers: a digest of the text stands for the DOI, one of its end for the arXiv id.
@@ -490,10 +432,10 @@ def page_selection(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(pages.cast("array<string>"), ",").alias("pages"))
 
 
-@query(r"""SELECT doc_id, round(len(regexp_extract_all(text, '(?im)\b(?:19|20)\d{2}\b|^\s*\[\d{1,3}\]|^\s*\(\d{1,3}\)|\bet\s+al\b|\barXiv\b|\bdoi\b|\bdoi\.org|https?://|\bpp\.\s*\d|\bvol\.\s*\d|\bIn\s+Proc|\bProceedings\b|\bJournal\b|\bConference\b|\bpreprint\b')) / length(text) * 1000, 6) AS density FROM documents WHERE length(text) > 0""")
+@query(r"""SELECT doc_id, coalesce(round(len(regexp_extract_all(text, '(?im)\b(?:19|20)\d{2}\b|^\s*\[\d{1,3}\]|^\s*\(\d{1,3}\)|\bet\s+al\b|\barXiv\b|\bdoi\b|\bdoi\.org|https?://|\bpp\.\s*\d|\bvol\.\s*\d|\bIn\s+Proc|\bProceedings\b|\bJournal\b|\bConference\b|\bpreprint\b')) / nullif(length(text), 0) * 1000, 6), 0.0) AS density FROM documents""")
 def marker_density(spark, sf_dir):
     """Bibliographic markers in 1000 characters."""
-    return _t(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.round(texts.marker_density(F.col("text")), 6).alias("density"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(texts.marker_density(F.col("text")), 6).alias("density"))
 
 
 @query(
@@ -704,10 +646,10 @@ def parse_targets(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(identifiers.target(raw))))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([lower(split_part(p_name, ' ', 1)), lower(replace(p_type, ' ', '-')), 'x-y'], lambda x: x <> ''), ',') AS tags FROM part WHERE lower(split_part(p_name, ' ', 1)) <> lower(p_type)")
+@query("SELECT p_partkey, array_to_string(list_filter([lower(split_part(p_name, ' ', 1)), CASE WHEN lower(replace(p_type, ' ', '-')) <> lower(split_part(p_name, ' ', 1)) THEN lower(replace(p_type, ' ', '-')) END, 'x-y'], lambda x: x <> ''), ',') AS tags FROM part")
 def tag_rules(spark, sf_dir):
     """Tags lower-cased, hyphenated, each once."""
-    p = _t(spark, sf_dir, "part").where(F.lower(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))) != F.lower("p_type"))
+    p = _t(spark, sf_dir, "part")
     raw = F.array(F.upper(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))), F.concat(F.lit(" "), F.col("p_type")), F.lit("X y"), F.lit("x-Y-"), F.lit(" "))
     return p.select("p_partkey", F.array_join(identifiers.normal_tags(raw), ",").alias("tags"))
 

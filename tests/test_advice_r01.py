@@ -11,7 +11,7 @@ from quire.operators import search as searching
 from quire.plans.queries import QUERIES
 
 
-def test_find_duplicate_all_reads_every_language_and_whole_titles(spark, tmp_path):
+def test_find_duplicate_reads_every_language_and_whole_titles(spark, tmp_path):
     long = "Wörter " * 100
     rows = [
         (1, "Über alles", "de"), (2, "uber - ALLES", None), (4, long + "a", "fr"), (5, long + "b", "en"), (6, ". " * 900 + "late words", "en"), (7, "late words", "es"),
@@ -28,7 +28,7 @@ def test_find_duplicate_all_reads_every_language_and_whole_titles(spark, tmp_pat
     ids = {i: identities(i, t) for i, t, _ in rows}
     want = {i: min(j for j in ids if ids[i] & ids[j]) for i in ids if ids[i]}
     assert want[2] == 1 and want[7] == 6 and want[15] == 12 and want[20] == 16
-    assert dict(map(tuple, QUERIES["find_duplicate_all"](spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, QUERIES["find_duplicate"](spark, str(tmp_path)).collect())) == want
 
 
 def test_search_folds_accents_and_stems(spark, tmp_path):
