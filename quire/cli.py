@@ -6,14 +6,17 @@ Every reading command prints JSON lines with ``--json``; failures leave with cod
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire import commands
 from quire.library import Library, libraries, resolve
 from quire.operators import identity, maintain
 from quire.session import session
+from quire.sources import files
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -22,6 +25,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-L", "--library")
     p.add_argument("--json", action="store_true")
     p.add_argument("--master", default="local[*]")
+    p.add_argument("--tables", help="folder of answers: see quire.commands")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *names: str, **options):
@@ -46,9 +50,53 @@ def _parser() -> argparse.ArgumentParser:
     add("export", "path", "keys", keys=many)
     add("import", "path", "--strategy", strategy={"default": "newer", "choices": ["skip", "replace", "newer"]})
     add("peek", "path")
+    flag = {"action": "store_true"}
+    add("use", "name")
+    add("config", "setting", "value", setting={"nargs": "?"}, value={"nargs": "?"})
+    add("find", "query", "--limit", "--year-from", "--year-to", **numbers)
+    add("add", "--min-level", "--no-read", no_read=flag)
+    add("read", "keys", "--level", "--tag", keys=many)
+    add("reread", "keys", keys={"nargs": "+"})
+    for name in ("refresh", "inbox"):
+        add(name)
+    add("check", "--fix", fix=flag)
+    add("code", "--force", "--unofficial", force=flag, unofficial=flag)
+    add("ask", "question", "--read", "--level", "--tag", "--year-from", "--year-to", read={"type": int, "default": 5}, **numbers)
+    add("claim", "keys", keys={"nargs": "+"})
     return p
 
 
+def _defaults(root: str) -> dict:
+    """Defaults of all libraries under ``root``."""
+    store, path = files.opened(f"{root}/defaults.json")
+    if not store.get_file_info(path).is_file:
+        return {}
+    with store.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
+def _set_default(root: str, name: str, value: str) -> None:
+    store, path = files.opened(f"{root}/defaults.json")
+    values = _defaults(root) | {name: value}
+    with store.open_output_stream(path) as f:
+        f.write(json.dumps(values).encode())
+
+
+def _configure(spark, a: argparse.Namespace) -> str:
+    """Shows or sets a library's settings; a setting keeps its kind."""
+    lib = resolve(spark, a.root, a.library, _defaults(a.root).get("library"))
+    held = lib.settings.__dict__
+    if a.setting and a.setting not in held:
+        raise ValueError(f"no setting {a.setting!r} among {sorted(held)}")
+    if a.value is not None:
+        if isinstance(held[a.setting], bool) and a.value not in ("true", "false"):
+            raise ValueError(f"{a.setting} is true or false")
+        made = {bool: lambda v: v == "true", dict: json.loads}.get(type(held[a.setting]), str)
+        lib.save_settings(**{a.setting: made(a.value)})
+    held = lib.settings.__dict__
+    return json.dumps({a.setting: held[a.setting]} if a.setting else held, sort_keys=True)
+
+
 def _show(rows: DataFrame, as_json: bool) -> None:
     lines = rows.toJSON() if as_json else rows.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in rows.columns]).alias("line"))
     for r in lines.collect():
@@ -60,7 +108,15 @@ def _run(a: argparse.Namespace, spark) -> None:
         return print(Library.create(spark, a.root, a.name, a.scope).folder)
     if a.command == "libs":
         return print("\n".join(libraries(spark, a.root)))
-    lib = resolve(spark, a.root, a.library)
+    if a.command == "use":
+        resolve(spark, a.root, a.name)
+        _set_default(a.root, "library", a.name)
+        return print(a.name)
+    if a.command == "config":
+        return print(_configure(spark, a))
+    lib = resolve(spark, a.root, a.library, _defaults(a.root).get("library"))
+    if a.command in commands.NAMES:
+        return _show(commands.run(a, lib, _this_year()), a.json)
     keep = {k: v for k in ("level", "tag", "year_from", "year_to", "status", "limit", "sort") if (v := getattr(a, k, None)) is not None}
     tables = {
         "info": lambda: lib.info(),

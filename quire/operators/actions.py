@@ -19,6 +19,8 @@ from quire.plans.providers import Provider
 
 # What a reading may hold.
 SECTIONS, SECTION_WORDS, FINDINGS, TAGS, QUOTES = 8, 120, 6, 12, 4
+#: Fields that a checker may correct.
+CORRECTED = ("venue", "year", "type", "title")
 
 
 def as_candidates(records: DataFrame, angle: str, source: str, start: int = 0) -> DataFrame:
@@ -109,23 +111,34 @@ def add_papers(entries: DataFrame, records: DataFrame, fulltexts: DataFrame, as_
     return drafts.drop("text")
 
 
+def corrections(entries: DataFrame, as_of_year: int, provider: Provider | None) -> DataFrame | None:
+    """key and the plausible values (_venue, _year, _type, _title) that a checker proposes for what the audit found; null without one."""
+    asked = maintain.audit(entries, as_of_year).select("key", "field").distinct()
+    proposed = provider.answer("check", asked) if provider else None
+    if proposed is None:
+        return None
+    good = maintain.vetted(proposed, as_of_year).where("ok").groupBy("key").pivot("field", list(CORRECTED)).agg(F.first(F.trim("proposed")))
+    return good.select("key", *[F.col(c).alias("_" + c) for c in CORRECTED])
+
+
+def corrected(entries: DataFrame, fresh: DataFrame, good: DataFrame | None = None) -> DataFrame:
+    """All entries as fresh records and accepted corrections leave them, with ``changed``, how many values did."""
+    mended = maintain.refreshed(entries, fresh).withColumn("changed", F.size("changes")).drop("changes")
+    both = mended.unionByName(entries.join(mended.select("key"), "key", "left_anti").withColumn("changed", F.lit(0)))
+    if good is None:
+        return both
+    rows = both.join(good, "key", "left")
+    values = {c: F.coalesce(F.col("_" + c).cast(both.schema[c].dataType), F.col(c)) for c in CORRECTED}
+    asked = sum((F.col("_" + c).isNotNull().cast("int") for c in CORRECTED), F.lit(0))
+    return rows.withColumn("changed", F.col("changed") + asked).withColumns(values).select(*both.columns)
+
+
 def check_entries(entries: DataFrame, fresh: DataFrame, as_of_year: int, *, fix: bool = False, provider: Provider | None = None) -> DataFrame:
     """key, before, after, status: findings of the audit, what fresh records mend and what a checker may correct."""
-    before = maintain.audit(entries, as_of_year)
-    mended = maintain.refreshed(entries, fresh)
-    both = mended.drop("changes").unionByName(entries.join(mended.select("key"), "key", "left_anti"))
-    proposed = provider.answer("check", before.select("key", "field").distinct()) if provider else None
-    if proposed is not None:
-        good = maintain.vetted(proposed, as_of_year).where("ok").groupBy("key").pivot("field", ["venue", "year", "type", "title"]).agg(F.first("proposed"))
-        good = good.select("key", *[F.col(c).alias("_" + c) for c in ("venue", "year", "type", "title")])
-        both = both.join(good, "key", "left").withColumns({c: F.coalesce(F.col("_" + c).cast(both.schema[c].dataType), F.col(c)) for c in ("venue", "year", "type", "title")}).select(*entries.columns)
-        corrections = good.select("key", sum((F.col("_" + c).isNotNull().cast("int") for c in ("venue", "year", "type", "title")), F.lit(0)).alias("_asked"))
-    after = maintain.audit(both, as_of_year).groupBy("key").agg(F.count("*").alias("_after"))
-    rows = entries.select("key").join(before.groupBy("key").agg(F.count("*").alias("_before")), "key", "left").join(after, "key", "left").join(mended.select("key", F.size("changes").alias("_mended")), "key", "left")
-    asked = F.lit(0)
-    if proposed is not None:
-        rows, asked = rows.join(corrections, "key", "left"), F.coalesce("_asked", F.lit(0))
-    b, a, n = F.coalesce("_before", F.lit(0)), F.coalesce("_after", F.lit(0)), F.coalesce("_mended", F.lit(0)) + asked
+    both = corrected(entries, fresh, corrections(entries, as_of_year, provider))
+    found = lambda rows, name: maintain.audit(rows, as_of_year).groupBy("key").agg(F.count("*").alias(name))
+    rows = entries.select("key").join(found(entries, "_before"), "key", "left").join(found(both, "_after"), "key", "left").join(both.select("key", "changed"), "key", "left")
+    b, a, n = F.coalesce("_before", F.lit(0)), F.coalesce("_after", F.lit(0)), F.coalesce("changed", F.lit(0))
     return rows.select("key", b.alias("before"), a.alias("after"), maintain.check_status(b, a, n, F.lit(False), fix).alias("status"))
 
 
