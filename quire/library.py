@@ -121,7 +121,8 @@ class Library:
 
     def delete(self, *keys: str) -> int:
         """All or nothing: ValueError if one of them is not there."""
-        missing = set(keys) - set(self.keys())
+        held = entryfiles.keys(self.spark, self.entries_folder).where(F.col("key").isin(*keys)).collect()
+        missing = set(keys) - {r["key"] for r in held}
         if missing:
             raise ValueError(f"no such entries: {', '.join(sorted(missing))}")
         return files.delete_files(self.entries_folder, [f"{k}.md" for k in keys])
