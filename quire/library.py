@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from quire.functions.identifiers import library_name
 from quire.operators import export, identity, maintain
 from quire.operators import search as searching
+from quire.operators.segments import SegmentedIndex
 from quire.plans.planning import Settings
 from quire.schema import SCHEMA_VERSION
 from quire.sources import entryfiles, files
 from quire.sources.storage import staged
 
 #: How the stored terms of an index are made; another number rebuilds it.
-TERMS = 1
+TERMS = 2
+#: Changed files that are named to the reader; more are found by a join.
+NAMED_FILES = 1000
 
 
 class Library:
@@ -85,7 +89,7 @@ class Library:
         """The best entries; word forms do not matter unless ``stem=False``, which searches without the stored terms."""
         rows = self.indexed()
         if options.get("stem") is not False:
-            options["index"] = searching.Index.load(self.spark, f"{self.folder}/index/v{self._manifest()['version']}-terms")
+            options["index"] = self.index
         return searching.search(rows, query, **options)
 
     def show(self, *keys: str, brief: bool = False) -> DataFrame:
@@ -133,40 +137,52 @@ class Library:
 
     # -- index -----------------------------------------------------------------------------------------------
 
-    def _manifest(self) -> dict:
-        store, path = files.opened(self.folder)
-        if not store.get_file_info(f"{path}/index/manifest.json").is_file:
-            return {}
-        with store.open_input_stream(f"{path}/index/manifest.json") as f:
-            found = json.loads(f.read())
-        return found if found.get("schema") == SCHEMA_VERSION and found.get("terms") == TERMS else {}
+    @property
+    def index(self) -> SegmentedIndex:
+        """Stored terms and rows of the entries; another schema or way of making terms has a folder of its own."""
+        folder = f"{self.folder}/index/schema-{SCHEMA_VERSION}-terms-{TERMS}"
+        return SegmentedIndex(self.spark, folder, searching.FIELD_WEIGHTS, fold=True, stem=True, positions=True, payload=("row",))
 
     def indexed(self) -> DataFrame:
-        """The index table, brought up to date first."""
+        """The entries of the index, brought up to date first."""
         self.sync()
-        return self.spark.read.parquet(f"{self.folder}/index/v{self._manifest()['version']}")
+        return self.index.documents().select("row.*") if self.index.manifest().segments else self.entries()
 
     def sync(self, force: bool = False) -> int:
-        """Takes changed files into a new version of the index; how many rows changed. A foreign schema is rebuilt."""
-        now, old = self.entries(), self._manifest()
-        version = old.get("version", 0) + 1
-        if old and not force:
-            held = self.spark.read.parquet(f"{self.folder}/index/v{old['version']}")
-            # Not a cache: one is found again by path, whatever lies there now.
-            diff = staged(maintain.snapshot_diff(held, now).where("change <> 'unchanged'"), "sync")
-            changed = diff.count()
-            if not changed:
-                return 0
-            rows = maintain.applied_diff(held, now, diff)
+        """Takes new, changed and vanished files into the index as one segment; how many entries. Other files are not read.
+
+        With ``force`` every file is taken anew, and what no reader can still need is deleted.
+        """
+        index, now = self.index, entryfiles.listed_files(self.spark, self.entries_folder)
+        some = bool(index.manifest().segments)
+        held = index.documents().select("key", F.col("row.path").alias("path"), F.col("row.mtime").alias("_mtime")) if some else self.spark.createDataFrame([], "key string, path string, _mtime double")
+        both = now.join(held, "path", "full_outer")
+        changed = F.col("_mtime").isNull() | (F.abs(F.col("mtime") - F.col("_mtime")) >= 1e-6) | F.lit(force)
+        diff = staged(both.select("path", "key", F.col("mtime").isNull().alias("vanished"), changed.alias("changed")).where("vanished or changed"), "sync")
+        paths = diff.where("not vanished").select("path").distinct()
+        # Few files are named to the reader; many are found again by a join.
+        named = [r["path"] for r in paths.limit(NAMED_FILES + 1).collect()]
+        if len(named) > NAMED_FILES:
+            rows = self.entries().join(paths, "path", "left_semi")
+        elif named:
+            rows = entryfiles.read_entries(self.spark, [unquote(p) for p in named])
         else:
-            rows, changed = now, None
-        rows.write.mode("overwrite").parquet(f"{self.folder}/index/v{version}")
-        fields = searching.entry_fields(self.spark.read.parquet(f"{self.folder}/index/v{version}"))
-        searching.Index.build(fields, searching.FIELD_WEIGHTS, positions=True, fold=True, stem=True).save(f"{self.folder}/index/v{version}-terms")
-        store, path = files.opened(self.folder)
-        with store.open_output_stream(f"{path}/index/manifest.json") as f:
-            f.write(json.dumps({"schema": SCHEMA_VERSION, "terms": TERMS, "version": version}).encode())
-        return self.spark.read.parquet(f"{self.folder}/index/v{version}").count() if changed is None else changed
+            rows = None
+        if rows is None and diff.isEmpty():
+            return 0
+        fresh = staged(rows if rows is not None else self.entries().limit(0), "sync-rows")
+        # A file that can no longer be read keeps its entry.
+        gone = diff.where("vanished").select("key").unionByName(diff.join(fresh.select("path"), "path", "left_semi").select("key")).where("key is not null")
+        gone = staged(gone.join(fresh.select("key"), "key", "left_anti").distinct(), "sync-gone")
+        count = fresh.count() + gone.count()
+        if not count:
+            return 0
+        index.apply(searching.entry_fields(fresh.withColumn("row", F.struct(*fresh.columns)), "row"), gone)
+        while index.compact():
+            pass
+        if force:
+            index.vacuum()
+        return count
 
     # -- exchange --------------------------------------------------------------------------------------------
 

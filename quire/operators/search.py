@@ -53,12 +53,13 @@ def match_column(query: Column) -> Column:
     return F.array_join(F.transform(F.concat(phrases, words), lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " OR ")
 
 
-def entry_fields(entries: DataFrame) -> DataFrame:
-    """key and the indexed fields of entries as text."""
+def entry_fields(entries: DataFrame, *more: str) -> DataFrame:
+    """key and the indexed fields of entries as text, and more columns as they are."""
     joined = lambda c: F.concat_ws(", ", c)
     return entries.select(
         "key", F.coalesce("title", F.lit("")).alias("title"), joined("authors").alias("authors"), F.coalesce("one_liner", F.lit("")).alias("one_liner"), F.coalesce("abstract", F.lit("")).alias("abstract"),
         joined("tags").alias("tags"), F.array_join(F.transform("sections", lambda s: F.concat(F.lit("### "), s["name"], F.lit("\n\n"), s["summary"])), "\n\n").alias("summary"), joined("key_findings").alias("findings"), F.coalesce("notes", F.lit("")).alias("notes"),
+        *more,
     )
 
 
@@ -159,8 +160,11 @@ def listing_score(level: Column, year: Column) -> Column:
     return (level_rank(level) * 1000 - F.coalesce(year, F.lit(0))).cast("double")
 
 
-def search(entries: DataFrame, query: str, *, limit: int = 20, index: Index | None = None, stem: bool | None = None, **filters) -> DataFrame:
-    """key, title, score of the best entries, ties by key. Accents and word forms do not matter; with ``stem=False`` forms do."""
+def search(entries: DataFrame, query: str, *, limit: int = 20, index=None, stem: bool | None = None, **filters) -> DataFrame:
+    """key, title, score of the best entries, ties by key. Accents and word forms do not matter; with ``stem=False`` forms do.
+
+    ``index`` is an ``Index`` or a ``SegmentedIndex``; the latter scores words without phrases from the blocks that can matter.
+    """
     if index and stem is not None and stem != index.stem:
         raise ValueError("the index was built with another stem option")
     fold, stem = (index.fold, index.stem) if index else (True, stem is not False)
@@ -173,6 +177,11 @@ def search(entries: DataFrame, query: str, *, limit: int = 20, index: Index | No
     single = sorted({x[0] for x in made if len(x) == 1})
     rows = [list(x) for x in dict.fromkeys(map(tuple, made)) if len(x) > 1]
     index = index or Index.build(entry_fields(entries), FIELD_WEIGHTS, positions=bool(rows), fold=fold, stem=stem)
+    if not isinstance(index, Index):
+        if not rows:
+            allowed = kept.select("key") if any(v is not None for v in filters.values()) else None
+            return index.top(single, limit, allowed).join(kept.select("key", "title"), "key").select("key", "title", "score").orderBy("score", "key")
+        index = index.as_index()
     hits = index.scores(single, rows, list(FIELD_WEIGHTS.values()))
     return hits.join(kept.select("key", "title"), "key").select("key", "title", "score").orderBy("score", "key").limit(limit)
 

@@ -12,7 +12,7 @@ from quire.functions import documents as texts
 from quire.functions import identifiers, titles, venues
 from quire.operators import citations, export, identity, maintain, quality, ranking
 from quire.operators import search as searching
-from quire.plans import entry_queries  # noqa: F401  registers its queries
+from quire.plans import entry_queries, index_queries, state_queries  # noqa: F401  they register their queries
 from quire.plans.tables import ENTRIES, ORACLES, QUERIES, entries, query  # noqa: F401
 from quire.plans.tables import table as _t
 
@@ -20,6 +20,7 @@ AS_OF = 2002
 WORD_FORMS = ("things", "theres", "ered", "Où")
 BM25_TERMS = ["eran", "thing", "tionly", "erthe"]
 
+
 def _bm25_sql(fields: str, weighted: str) -> str:
     terms = ", ".join(f"'{t}'" for t in BM25_TERMS)
     return f"""
@@ -65,7 +66,6 @@ def search_word_forms(spark, sf_dir):
     return index.scores(words).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-
 @query(
     """WITH c AS (SELECT p_partkey, CAST(160 + (p_partkey * 37) % 50000 AS INTEGER) AS n FROM part)
 SELECT p_partkey, 'a' || chr(n) || 'b' || chr(n + 7) || CASE p_partkey % 4 WHEN 0 THEN '—' WHEN 1 THEN '’' WHEN 2 THEN 'é' ELSE '&unknown;' END || ' & ' || chr(128512) AS text FROM c"""

@@ -31,8 +31,15 @@ FRONT = (
 ALWAYS = ("key", "title", "status", "level", "type")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, mtime, stem and text of every entry file."""
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, mtime of every entry file, without reading them."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    meta = F.col("_metadata")
+    return rows.select(meta["file_path"].alias("path"), (F.unix_micros(meta["file_modification_time"]).cast("double") / 1e6).alias("mtime"))
+
+
+def read_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """path, mtime, stem and text of every entry file of a folder, or of the files named."""
     rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(folder)
     meta = F.col("_metadata")
     return rows.select(meta["file_path"].alias("path"), F.unix_micros(meta["file_modification_time"]).cast("double").alias("_m"), F.regexp_replace(meta["file_name"], r"\.md$", "").alias("stem"), F.col("value").alias("text")).withColumn("mtime", F.col("_m") / 1e6).drop("_m")
@@ -109,8 +116,8 @@ def _reference(x) -> dict | None:
     return {"title": str(x["title"]), "year": _number(x.get("year")), "doi": x.get("doi"), "arxiv_id": x.get("arxiv_id"), "authors": [str(a) for a in x.get("authors") or []], "key": x.get("key")}
 
 
-def read_entries(spark: SparkSession, folder: str, *, corrupt: bool = False) -> DataFrame:
-    """Entries of a folder; files without front matter are left out, or alone with ``corrupt``."""
+def read_entries(spark: SparkSession, folder: str | list[str], *, corrupt: bool = False) -> DataFrame:
+    """Entries of a folder or of the files named; files without front matter are left out, or alone with ``corrupt``."""
     files = read_files(spark, folder)
     front, body = front_and_body(F.col("text"))
     own = machine_part(F.col("body"))

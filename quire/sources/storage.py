@@ -9,20 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a fresh local folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: ``spark.checkpoint.dir``, else the context's checkpoint folder, else (all on this machine) a fresh local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_root(spark)}/quire-{tag}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a written table: its lineage is cut, and a lost executor costs nothing that was computed before."""
-    path = f"{shared_root(df.sparkSession)}/quire-{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
