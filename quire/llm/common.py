@@ -3,54 +3,19 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shipping import map_batches, ship_package  # noqa: F401  the operators take them from here
+from quire.sources.storage import forget, fresh_path, shared_root, staged  # noqa: F401
+
 #: Word separators of every contract: space and the ASCII controls tab to carriage return.
 WORD_BREAK = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a fresh local one where it is unset and all runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/quire-{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: the lineage is cut and survives executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more; other DataFrames are passed over."""
-    for df in tables:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
 def sized(rows: int, rows_per_part: int = 500_000, least: int = 8) -> int:
     """Partitions for a table of so many short rows; it grows with them."""
     return max(least, -(-rows // rows_per_part))
@@ -96,35 +61,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that their Python workers can import it."""
-    import os
-    import zipfile
-
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="quire-code-"), "quire_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
 def sliced(batches, rows: int):
     """The batches in pieces of up to so many rows, so that few of them are Python objects at a time."""
     for batch in batches:
