@@ -54,7 +54,7 @@ def _parser() -> argparse.ArgumentParser:
     add("use", "name")
     add("config", "setting", "value", setting={"nargs": "?"}, value={"nargs": "?"})
     add("find", "query", "--limit", "--year-from", "--year-to", **numbers)
-    add("add", "--min-level", "--no-read", no_read=flag)
+    add("add", "--min-level", "--no-read", "--refresh", no_read=flag, refresh=flag)
     add("read", "keys", "--level", "--tag", keys=many)
     add("reread", "keys", keys={"nargs": "+"})
     for name in ("refresh", "inbox"):

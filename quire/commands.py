@@ -6,11 +6,13 @@ indexes. A table that is missing is empty: the command does what it can without
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.library import Library
+from quire.library import Library, libraries
 from quire.operators import actions, maintain
 from quire.operators.search import backlog
 from quire.plans.planning import SearchPlan, unplanned
@@ -25,7 +27,7 @@ TABLES = {
     "fulltexts": "doc string, text string, pages int, pages_read int",
     "fresh": f"key string, citation_count bigint, references array<{REFERENCE}>, doi string, venue string, bibtex string, abstract string",
     "files": "id string, stem string, text string",
-    "links": "key string, url string, official boolean, reachable string",
+    "links": "key string, url string, official boolean, reachable string, confidence string, evidence string",
     "verdicts": "citing string, cited string, ord int, confidence double, states_claim boolean, is_origin boolean, readable boolean, year int, title string, doi string, arxiv_id string",
     "rank": "dedup_key string, score double",
     "reader": f"key string, one_liner string, sections array<{SECTION}>, key_findings array<string>, tags array<string>, code_url string",
@@ -75,15 +77,23 @@ class Desk:
         found = actions.as_candidates(self.table("records"), "search", "search")
         return actions.discover(self._entries(), found, plan, self.year, limit=limit, provider=self.provider())
 
-    def add(self, min_level: str | None = None, read: bool = True) -> DataFrame:
-        """Drafts entries of the records, reads those that a reader answered and saves what is admitted."""
+    def siblings(self) -> DataFrame | None:
+        """Entries of the other libraries beside this one; null if there are none."""
+        root, own = self.library.folder.rsplit("/", 1)
+        others = [n for n in libraries(self.library.spark, root) if n != own]
+        rows = [Library(self.library.spark, f"{root}/{n}").entries().select(F.lit(n).alias("library"), "key", "doi", "arxiv_id", "title", "status", "one_liner") for n in others]
+        return reduce(DataFrame.unionByName, rows) if rows else None
+
+    def add(self, min_level: str | None = None, read: bool = True, refresh: bool = False) -> DataFrame:
+        """Drafts entries of the records, reads those that a reader answered and saves what is admitted; with ``refresh`` known works too."""
         settings = self.library.settings
         merged = maintain.merged_records(self.table("records"))
         # A work has no key before it is added: the reader's answers name the work.
         answers = Tables(**({"reader": self.table("reader").withColumnRenamed("key", "work")} if self._there("reader") else {}))
-        done = staged(actions.add_papers(self._entries(), merged, self.table("fulltexts"), self.year, min_level=min_level or settings.min_level, allow_non_published=settings.allow_non_published, provider=answers, read=read), "add")
-        self._save(done.where("outcome = 'added'"))
-        return done.select("work", "key", "outcome", "reason", "status")
+        done = staged(actions.add_papers(self._entries(), merged, self.table("fulltexts"), self.year, min_level=min_level or settings.min_level, allow_non_published=settings.allow_non_published, provider=answers, read=read, refresh=refresh, siblings=self.siblings()), "add")
+        dates = self._entries().select("key", "added")
+        self._save(done.where("outcome in ('added', 'updated')").join(dates, "key", "left"))
+        return done.select("work", "key", "outcome", "reason", "status", "elsewhere")
 
     def read(self, *keys: str, again: bool = False, level: str | None = None, tag: str | None = None) -> DataFrame:
         """Takes the reader's answers into unread entries; with ``again`` into read ones too."""
@@ -119,8 +129,8 @@ class Desk:
         """Saves repository links that a search found and that hold."""
         entries = self._entries()
         done = staged(actions.find_code(entries, self.table("links"), force=force, unofficial=unofficial), "code")
-        new = done.where("status = 'found'").select("key", F.col("code_url").alias("_url"))
-        self._save(entries.join(new, "key").withColumns({"code_url": F.col("_url"), "code_source": F.lit("web")}))
+        new = done.where("status = 'found'").select("key", F.col("code_url").alias("_url"), F.col("reason").alias("_reason"))
+        self._save(entries.join(new, "key").withColumns({"code_url": F.col("_url"), "code_source": F.lit("web"), "code_reason": F.col("_reason")}))
         return done
 
     def ask(self, question: str, read: int = 5, **filters) -> DataFrame:
@@ -141,7 +151,7 @@ def run(a, library: Library, year: int) -> DataFrame:
     keep = lambda *names: {n: v for n in names if (v := getattr(a, n, None)) is not None}
     calls = {
         "find": lambda: desk.find(a.query, **keep("limit", "year_from", "year_to")).select("dedup_key", "rank", "relevance", "year", "title"),
-        "add": lambda: desk.add(a.min_level, not a.no_read), "read": lambda: desk.read(*a.keys, **keep("level", "tag")), "reread": lambda: desk.read(*a.keys, again=True), "refresh": desk.refresh, "check": lambda: desk.check(a.fix),
+        "add": lambda: desk.add(a.min_level, not a.no_read, a.refresh), "read": lambda: desk.read(*a.keys, **keep("level", "tag")), "reread": lambda: desk.read(*a.keys, again=True), "refresh": desk.refresh, "check": lambda: desk.check(a.fix),
         "inbox": lambda: desk.inbox().select("id", "key", "how", "status", "title"), "code": lambda: desk.code(a.force, a.unofficial), "ask": lambda: desk.ask(a.question, **keep("read", "level", "tag", "year_from", "year_to")), "claim": lambda: desk.claim(*a.keys),
     }
     return calls[a.command]()

@@ -13,6 +13,7 @@ from quire.functions.identifiers import citation_key, folded, identity, normal_a
 from quire.functions.venues import venue_levels
 from quire.operators import citations, maintain, quality, ranking
 from quire.operators.identity import find_duplicates, match_cascade, unique_keys
+from quire.operators.reports import code_reason, link_answer
 from quire.operators.search import search
 from quire.plans.planning import SearchPlan
 from quire.plans.providers import Provider
@@ -84,10 +85,13 @@ def apply_reading(drafts: DataFrame, readings: DataFrame, level_names: tuple[str
     return rows.withColumns(out).select(*drafts.columns)
 
 
-def add_papers(entries: DataFrame, records: DataFrame, fulltexts: DataFrame, as_of_year: int, *, min_level: str = "C", allow_non_published: bool = False, provider: Provider | None = None, read: bool = True) -> DataFrame:
-    """work, outcome, reason and the drafted entry of each record: duplicate, rejected, unavailable or added.
+def add_papers(entries: DataFrame, records: DataFrame, fulltexts: DataFrame, as_of_year: int, *, min_level: str = "C", allow_non_published: bool = False, provider: Provider | None = None, read: bool = True, refresh: bool = False, siblings: DataFrame | None = None) -> DataFrame:
+    """work, outcome, reason and the drafted entry of each record: duplicate, rejected, not_found, added or updated.
 
-    ``records`` are merged ones (one a work), ``fulltexts`` have doc (the work), text, pages and pages_read.
+    ``records`` are merged ones (one a work), ``fulltexts`` have doc (the work), text, pages and pages_read. With
+    ``refresh`` a work that is there is drafted anew under its key and keeps its earlier reading and code link unless it
+    was read anew. ``siblings`` (library, key, doi, arxiv_id, title, status, one_liner) are entries of other libraries:
+    ``elsewhere`` names a finished reading among them.
     """
     wanted = records.select(F.col("work").alias("id"), "doi", "arxiv_id", "title")
     rows = venue_levels(records).join(find_duplicates(wanted, entries).select(F.col("id").alias("work"), F.col("key").alias("duplicate")), "work", "left")
@@ -97,18 +101,25 @@ def add_papers(entries: DataFrame, records: DataFrame, fulltexts: DataFrame, as_
     rows = rows.join(fulltexts.select(c("doc").alias("work"), c("text").alias("full"), "pages", "pages_read"), "work", "left")
     named = unique_keys(rows.select("work", citation_key(c("authors"), c("year"), c("title")).alias("base")), entries.select("key"), order="work").select("work", "key")
     has_text = usable(c("full"), c("pages_read"))
-    outcome = F.when(F.coalesce("title", F.lit("")) == "", "not_found").when(c("duplicate").isNotNull(), "duplicate").when(~c("bar")["ok"], "rejected").otherwise("added")
+    outcome = F.when(F.coalesce("title", F.lit("")) == "", "not_found").when(c("duplicate").isNotNull(), "updated" if refresh else "duplicate").when(~c("bar")["ok"], "rejected").otherwise("added")
     reason = F.when(outcome == "duplicate", c("duplicate")).when(outcome == "rejected", c("bar")["why"]).otherwise(F.when(has_text, "").otherwise("no full text"))
     none = F.lit(None).cast("string")
     drafts = rows.join(named, "work").select(
-        "work", "key", outcome.alias("outcome"), reason.alias("reason"), "title", "authors", "year", "venue", "type", "doi", "arxiv_id", "url", "abstract", "citation_count", "references", "bibtex", c("verdict.level").alias("level"), c("verdict.reason").alias("level_reason"),
+        "work", F.when(outcome == "updated", c("duplicate")).otherwise(c("key")).alias("key"), outcome.alias("outcome"), reason.alias("reason"), "title", "authors", "year", "venue", "type", "doi", "arxiv_id", "url", "abstract", "citation_count", "references", "bibtex", c("verdict.level").alias("level"), c("verdict.reason").alias("level_reason"),
         F.when(F.lit(read) & ~has_text, "UNVERIFIED").otherwise("unread").alias("status"), "pages", "pages_read", F.length("full").cast("long").alias("text_chars"), none.alias("one_liner"),
-        F.array().cast("array<struct<name:string,summary:string>>").alias("sections"), F.array().cast("array<string>").alias("key_findings"), F.array().cast("array<string>").alias("tags"), none.alias("code_url"), none.alias("code_source"), c("full").alias("text"),
+        F.array().cast("array<struct<name:string,summary:string>>").alias("sections"), F.array().cast("array<string>").alias("key_findings"), F.array().cast("array<string>").alias("tags"), none.alias("code_url"), none.alias("code_source"), none.alias("read_source"), c("full").alias("text"),
     )
-    answers = provider.answer("reader", drafts.where("outcome = 'added'").select("key", "work")) if read and provider else None
+    answers = provider.answer("reader", drafts.where("outcome in ('added', 'updated')").select("key", "work")) if read and provider else None
     if answers is not None:
         drafts = apply_reading(drafts, answers.join(drafts.select("key", "text"), "key"))
-    return drafts.drop("text")
+    drafts = drafts.drop("text")
+    if refresh:
+        again = (F.col("outcome") == "updated") & (F.col("status") != "verified")
+        drafts = maintain.carried_reading(drafts.where(again), entries).unionByName(drafts.where(~again))
+    if siblings is None:
+        return drafts.withColumn("elsewhere", none)
+    read_there = maintain.reading_elsewhere(wanted, siblings, "").select(F.col("id").alias("work"), F.concat_ws("/", "library", "key").alias("elsewhere"))
+    return drafts.join(read_there, "work", "left")
 
 
 def corrections(entries: DataFrame, as_of_year: int, provider: Provider | None) -> DataFrame | None:
@@ -143,25 +154,28 @@ def check_entries(entries: DataFrame, fresh: DataFrame, as_of_year: int, *, fix:
 
 
 def find_code(entries: DataFrame, links: DataFrame, *, force: bool = False, unofficial: bool = False) -> DataFrame:
-    """key, code_url, status of a search for repositories: found, unchanged, none, rejected or skipped.
+    """key, code_url, status, reason of a search for repositories: found, unchanged, none, rejected or skipped.
 
-    ``links`` (key, url, official, reachable) is what the search found; an unreachable host says nothing, an absent page does.
+    ``links`` (key, url, official, reachable, and perhaps confidence and evidence) is what the search found; an
+    unreachable host says nothing, an absent page does. ``reason`` tells where a found link comes from.
     """
-    l = links.select("key", normal_code_url(F.col("url")).alias("_url"), F.col("url").alias("_raw"), "official", "reachable")
+    more = {c: F.col(c) if c in links.columns else F.lit(None).cast("string") for c in ("confidence", "evidence")}
+    l = links.select("key", normal_code_url(F.col("url")).alias("_url"), F.col("url").alias("_raw"), "official", "reachable", *[v.alias(c) for c, v in more.items()])
     rows = entries.select("key", "code_url").join(l, "key", "left")
     has = F.coalesce("code_url", F.lit("")) != ""
     status = (
         F.when(has & F.lit(not force), "skipped").when(F.coalesce("_raw", F.lit("")) == "", "none").when(F.col("_url").isNull() | (F.col("reachable") == "absent") | ~F.col("official") & F.lit(not unofficial), "rejected")
         .when(F.col("_url") == F.col("code_url"), "unchanged").otherwise("found")
     )
-    return rows.select("key", F.when(status == "found", F.col("_url")).otherwise(F.col("code_url")).alias("code_url"), status.alias("status"))
+    return rows.select("key", F.when(status == "found", F.col("_url")).otherwise(F.col("code_url")).alias("code_url"), status.alias("status"), F.when(status == "found", code_reason(F.col("official"), F.col("confidence"), link_answer(F.col("reachable"))["doubt"], F.col("evidence"))).alias("reason"))
 
 
 def identified(files: DataFrame, head_chars: int = 6000) -> DataFrame:
     """id, stem, doi, arxiv_id and title of dropped texts (id, stem, text), from their first page or so."""
     head = F.substring("text", 1, head_chars)
     stamp = F.coalesce(normal_arxiv(F.regexp_extract(head, r"(?i)arXiv:\s*(\S+)", 1)), normal_arxiv(F.regexp_extract(head, r"(?i)arxiv\.org/(?:abs|pdf)/(\S+)", 1)))
-    lines = F.transform(F.slice(F.split(head, "\n"), 1, 60), F.trim)
+    # A bare F.trim would take the place of a line as the letters to trim.
+    lines = F.transform(F.slice(F.split(head, "\n"), 1, 60), lambda x: F.trim(x))
     real = F.filter(lines, lambda x: F.length(x).between(8, 300) & x.rlike("[A-Za-z]{3}") & ~x.rlike(r"(?i)^(arxiv|preprint|published|under review|https?:|doi|vol\.|page|proceedings|copyright|©)"))
     return files.select("id", "stem", normal_doi(head).alias("doi"), stamp.alias("arxiv_id"), F.get(real, F.lit(0)).alias("title"))
 

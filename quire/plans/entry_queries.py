@@ -252,7 +252,7 @@ def code_links(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     url = F.when(kind == 0, "").when(kind == 2, "github.com/acme").otherwise(F.concat(repo, F.lit("/.")))
     links = o.select(k.alias("key"), url.alias("url"), (kind != 3).alias("official"), F.when(kind == 4, "absent").otherwise("unknown").alias("reachable"))
-    return actions.find_code(o.select(k.alias("key"), F.when(k % 6 == 0, repo).alias("code_url")), links, force=True)
+    return actions.find_code(o.select(k.alias("key"), F.when(k % 6 == 0, repo).alias("code_url")), links, force=True).select("key", "code_url", "status")
 
 
 @query("SELECT event_id AS key, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM events WHERE event_id % 7 = 0 OR event_id % 11 <> 0")

@@ -12,7 +12,7 @@ from quire.functions import documents as texts
 from quire.functions import identifiers, titles, venues
 from quire.operators import citations, export, identity, maintain, quality, ranking
 from quire.operators import search as searching
-from quire.plans import entry_queries, index_queries, state_queries  # noqa: F401  they register their queries
+from quire.plans import client_queries, entry_queries, index_queries, report_queries, state_queries, time_queries  # noqa: F401  they register their queries
 from quire.plans.tables import ENTRIES, ORACLES, QUERIES, entries, query  # noqa: F401
 from quire.plans.tables import table as _t
 

@@ -73,7 +73,7 @@ def section_text(body: Column, heading: str) -> Column:
 
 
 def bullets(text: Column) -> Column:
-    lines = F.transform(F.split(text, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     return F.transform(F.filter(lines, lambda x: x.rlike(r"^[-*] ")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x))))
 
 

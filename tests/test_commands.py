@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 import pytest
 
@@ -40,6 +41,14 @@ def test_find_add_and_read(run):
     assert done["n"]["outcome"] == "added" and done["o"]["outcome"] == "duplicate" and len(run.library) == 4
     added = run.library.get(done["n"]["key"]).first()
     assert added["status"] == "verified" and added["code_url"] == "https://github.com/zoe/new" and added["tags"] == ["deep-nets"] and added["added"]
+    # Known works are drafted anew when asked for, and keep their reading and dates; other libraries are named.
+    other = Library.create(run.library.spark, run.library.folder.rsplit("/", 1)[0], "two")
+    other.save(run.library.get(done["n"]["key"]).drop("path", "mtime"))
+    again = {r["work"]: r for r in run("-L", "one", "add", "--refresh", records=[record | {"citation_count": 95}, old | {"citation_count": 12}], reader=[])[1]}
+    assert again["n"]["outcome"] == "updated" and again["n"]["elsewhere"] == f"two/{done['n']['key']}" and again["n"]["key"] == done["n"]["key"]
+    fresh = run.library.get(done["n"]["key"]).first()
+    assert (fresh["citation_count"], fresh["one_liner"], fresh["status"], fresh["code_url"]) == (95, "It works", "verified", "https://github.com/zoe/new") and len(run.library) == 4
+    shutil.rmtree(other.folder.removeprefix("file://"))
     # Without an answer nothing changes; a reading that is there is only replaced when asked for.
     assert run("read", reader=[{"key": "a2017", "one_liner": "other"}])[1] == [{"key": "c2010", "status": "no answer"}]
     assert run("read", reader=[{"key": "c2010", "one_liner": "old but good", "sections": []}])[1][0]["status"] == "verified"
@@ -57,6 +66,7 @@ def test_refresh_check_and_code(run):
     links = [{"key": "a2017", "url": "github.com/a/b", "official": True, "reachable": "exists"}, {"key": "b2020", "url": "github.com/a", "official": True, "reachable": "exists"}]
     assert {r["key"]: r["status"] for r in run("code", links=links)[1]} == {"a2017": "found", "b2020": "rejected", "c2010": "none"}
     assert run.library.get("a2017").first()["code_url"] == "https://github.com/a/b" and run.library.get("b2020").first()["code_url"] is None
+    assert run.library.get("a2017").first()["code_reason"] == "author release"
 
 
 def test_inbox_ask_claim_and_settings(run):
