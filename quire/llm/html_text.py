@@ -9,8 +9,8 @@ the content the counts are of subtrees with their texts: a container that is the
 and headings stay. Identical pages count once, so copies of a page do not turn its article into a template.
 
 Tags, roles and class words only break ties: inside the content (a comment section or share bar within the article),
-and on pages about which counts say nothing because their host has fewer than ``min_pages`` pages and the whole table
-fewer than ``min_hosts`` hosts. An element that holds half of the content's words is not furniture by its class.
+and on the pages of a host with fewer than ``min_pages`` pages, of which counts say nothing but that a shape is that of
+``min_hosts`` hosts. What other hosts are in the table hence changes no text unless they share shapes. An element that holds half of the content's words is not furniture by its class.
 Scripts, styles, forms and other markup that is no text go everywhere.
 
 Defined results: null or empty markup and pages without content have an empty text; a null URL has the host ``''``;
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import forget, map_batches, sliced, staged
+from quire.llm.common import filesystem, forget, map_batches, sliced, staged
 from quire.llm.url_filter import url_host
 
 #: A shape is template on a host from so many pages and that share of the host's, or from so many hosts.
 MIN_PAGES, MIN_SHARE, MIN_HOSTS = 3, 0.001, 3
-#: Template tables of up to this many hashes are broadcast; larger ones are joined by host.
-BROADCAST_HASHES = 1_000_000
+#: Template tables of up to this many hashes are read by every task; beyond it they come before their pages.
+SMALL_HASHES = 500_000
+#: Pages of a host that a task has then; groups of a host at most.
+PAGES_A_GROUP, MOST_GROUPS = 5000, 1 << 30
 #: Lists of repeated pages of up to this many rows are broadcast.
 BROADCAST_COPIES = 100_000
 #: Rows of an Arrow batch that are Python objects at a time.
@@ -241,9 +243,8 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
         if inside:
             recurs = n.tag in CONTAINERS and (n.digest in templates or not marked and n.shape in templates and n.linked > n.prose)
             return recurs or is_furniture(n, marked, words)
-        if not counted:
-            return marked or is_furniture(n, False)
-        return (n.shape in templates or n.spot in templates) and (marked or n.tag in CONTAINERS)
+        recurs = (n.shape in templates or n.spot in templates) and (marked or n.tag in CONTAINERS)
+        return recurs or not counted and (marked or is_furniture(n, False))
 
     todo: list = [(root, False)]
     while todo:
@@ -293,7 +294,7 @@ def countable(html: str | None) -> tuple[set[int], set[int]]:
 
 
 def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_hosts: int = MIN_HOSTS) -> DataFrame:
-    """host, counted, hashes of every host: whether counts decide there, and its hashes that recur.
+    """host, counted, hashes, groups of every host: whether counts decide there, its hashes that recur, in how many groups its pages go.
 
     A hash recurs on at least ``min_pages`` different pages and that share of the host's, or, of shapes, on ``min_hosts`` hosts.
     """
@@ -316,33 +317,68 @@ def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: f
     counts = map_batches(once.select("host", "html"), subtrees, "host string, kind byte, digest long").groupBy("host", "kind", "digest").agg(F.count("*").alias("pages"))
     counts = staged(counts.where((F.col("kind") < 2) | (F.col("pages") >= min_pages)), "html-counts")
     sizes = counts.where("kind = 0").select("host", F.col("pages").alias("all_pages"))
-    many = sizes.limit(min_hosts).count() >= min_hosts
     pooled = counts.where("kind = 1").groupBy("digest").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts)
     recurs = (F.col("pages") >= F.greatest(F.lit(min_pages), min_share * F.col("all_pages"))) | F.col("hosts").isNotNull()
     often = counts.where("kind > 0").join(sizes, "host").join(pooled, "digest", "left").where(recurs).groupBy("host").agg(F.collect_set("digest").alias("hashes"))
-    out = staged(sizes.join(often, "host", "left").select("host", (F.lit(many) | (F.col("all_pages") >= min_pages)).alias("counted"), "hashes"), "html-templates")
+    out = staged(sizes.join(often, "host", "left").select("host", (F.col("all_pages") >= min_pages).alias("counted"), "hashes", F.greatest(F.lit(1), F.ceil(F.col("all_pages") / PAGES_A_GROUP)).cast("int").alias("groups")), "html-templates")
     forget(repeated, counts)
     return out
 
 
+def _read_hosts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Texts of page rows (page_id, url, html, host); the small table of templates is read once by a task."""
+    from pyarrow import dataset
+
+    store, root = filesystem(path)
+    table = dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=["host", "counted", "hashes"])
+    place = {host: i for i, host in enumerate(table.column("host").to_pylist())}
+    counted, hashes, seen = table.column("counted").to_pylist(), table.column("hashes"), {}
+    for b in sliced(batches, SLICE):
+        texts = []
+        for html, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if host not in seen:
+                if len(seen) > 1000:
+                    seen.clear()
+                i = place.get(host)
+                seen[host] = (frozenset(), False) if i is None else (frozenset(hashes[i].as_py() or ()), bool(counted[i]))
+            texts.append(main_text(html, *seen[host]))
+        yield _texts(b.column(0), b.column(1), texts)
+
+
+def _follow_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of page rows that follow the row of their host's templates (page_id, url, html, kind, counted, hashes)."""
+    hashes, counted = frozenset(), False
+    for b in sliced(batches, SLICE):
+        pages, texts = [], []
+        for i, (kind, html, decides) in enumerate(zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            if kind == 0:
+                hashes, counted = frozenset(b.column(5)[i].as_py() or ()), bool(decides)
+            else:
+                pages.append(i)
+                texts.append(main_text(html, hashes, counted))
+        take = pa.array(pages, pa.int64())
+        yield _texts(b.column(0).take(take), b.column(1).take(take), texts)
+
+
+def _texts(ids, urls, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
 def extract_text(pages: DataFrame, templates: DataFrame | None = None, **options) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages``; ``templates``: of ``site_templates``, else made of ``pages``."""
+    """page_id, url, text and n_chars of every row of ``pages``; ``templates``: of ``site_templates``, else made of ``pages``.
+
+    Up to SMALL_HASHES hashes are a file that every task reads. Beyond it pages are dealt out by host and group, and the
+    first row of a group brings the host's hashes: either way they are not in the rows of pages.
+    """
     templates = site_templates(pages, **options) if templates is None else templates
+    schema = "page_id long, url string, text string, n_chars long"
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", url_host(F.col("url")).alias("host"))
     size = templates.agg(F.sum(1 + F.coalesce(F.size("hashes"), F.lit(0)))).first()[0] or 0
-    side = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
-    rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(side, "host", "left").select("page_id", "url", "html", "host", "hashes", "counted")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, frozenset[int]] = {}
-        for b in sliced(batches, SLICE):
-            texts = []
-            for html, host, hashes, counted in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5).to_pylist()):
-                if host not in seen:
-                    if len(seen) > 1000:
-                        seen.clear()
-                    seen[host] = frozenset(hashes.as_py() or ())
-                texts.append(main_text(html, seen[host], bool(counted)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    out = rows.withColumn("page_id", F.col("page_id").cast("long"))
-    return map_batches(out, extract, "page_id long, url string, text string, n_chars long")
+    if size <= SMALL_HASHES:
+        path = getattr(templates, "_staged_at", None) or staged(templates, "html-templates")._staged_at
+        return map_batches(rows, lambda batches: _read_hosts(batches, path), schema)
+    group = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(MOST_GROUPS))
+    spread = rows.join(templates.select("host", "groups"), "host", "left").select("host", F.pmod(group, F.coalesce("groups", F.lit(1))).cast("int").alias("group"), F.lit(1).alias("kind"), "page_id", "url", "html", F.lit(None).cast("boolean").alias("counted"), F.lit(None).cast("array<long>").alias("hashes"))
+    heads = templates.select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "counted", "hashes")
+    dealt = heads.unionByName(spread).repartition("host", "group").sortWithinPartitions("host", "group", "kind")
+    return map_batches(dealt.select("page_id", "url", "html", "kind", "counted", "hashes"), _follow_hosts, schema)

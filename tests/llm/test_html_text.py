@@ -79,10 +79,33 @@ def test_texts_equal_those_of_another_parser_and_templates_decide(spark, site):
     want = {i: "\n\n".join(Article(h).blocks) for i, _, h in site}
     assert texts(df) == want
     templates = html_text.site_templates(df)
-    none = templates.withColumn("hashes", templates["hashes"].isNull().cast("int")).select("host", "counted").selectExpr("host", "counted", "cast(array() as array<bigint>) as hashes")
+    none = templates.selectExpr("host", "counted", "cast(array() as array<bigint>) as hashes", "groups")
     without = texts(df, templates=none)
-    # Without the counted subtrees every page keeps its menu, advert and footer.
-    assert all(without[i] != want[i] and want[i] in without[i] for i in want)
+    # Without the counted subtrees the pages of hosts with several keep their menu, advert and footer.
+    several = [i for i in want if i % 4 < 3]
+    assert several and all(without[i] != want[i] and want[i] in without[i] for i in several)
+
+
+def test_templates_before_their_pages_give_the_same(spark, site, monkeypatch):
+    df = frame(spark, [*site, (None, None, "<p>lone</p>"), site[0]])
+    want = sorted(map(tuple, html_text.extract_text(df).collect()), key=repr)
+    monkeypatch.setattr(html_text, "SMALL_HASHES", 0)
+    monkeypatch.setattr(html_text, "PAGES_A_GROUP", 4)
+    assert sorted(map(tuple, html_text.extract_text(df).collect()), key=repr) == want
+
+
+def test_an_unrelated_host_changes_no_text(spark):
+    def bare(i, body):
+        return f"<body><nav><a href='/'>Home {i}</a></nav><div class='text'><h1>Title {i}</h1><p>{body}</p></div><div class='cookies'>We use cookies</div><footer>Contact us {i}</footer></body>"
+
+    rows = [(1, "http://a.org/1", bare(0, prose(30))), (2, "http://b.org/2", bare(1, prose(30)))]
+    other = [(9, "http://z.org/", "<body><main><p>Quite another page.</p></main></body>"), (10, "http://y.org/", "<body><table><tr><td>And another.</td></tr></table></body>")]
+    want = {i: f"Title {i - 1}\n\n" + h.split("<p>")[1].split("</p>")[0] for i, _, h in rows}
+    assert texts(frame(spark, rows)) == want
+    got = texts(frame(spark, rows + other))
+    assert {i: got[i] for i in want} == want and got[9] == "Quite another page."
+    # A host of a single page loses its navigation and footer whatever else there is.
+    assert texts(frame(spark, rows[:1])) == {1: want[1]}
 
 
 def test_counts_against_brute_force(spark, site):
