@@ -58,3 +58,20 @@ def test_back_matter(spark):
     row = documents.strip_back_matter(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).orderBy("id").collect()
     assert "[12]" not in row[0]["text"] and "Proof text" not in row[0]["text"] and "Some body" in row[0]["text"] and row[1]["text"] is None
     assert "in\nAppendix A.1, where" in documents.cut_appendix("x " * 200 + "in\nAppendix A.1, where we see")
+
+
+def test_several_reference_lists_and_back_matter():
+    from quire.functions.documents import APPENDIX_CUT, REFERENCES_CUT, cut_appendix, cut_references, reference_lists
+
+    prose = "\n".join(["Plain prose that says what was done and why it was done so."] * 60)
+    entries = "\n".join(f"[{i}] Lee et al. 2001. In Proc. of Things, pp. {i}." for i in range(60))
+    text = f"{prose}\nReferences\n{entries}\nBibliography\n{entries}\nAppendix A: Proofs\n{prose}\nReferences\n{entries}"
+    # The second heading is within the first list, which the appendix ends; the third heads a list of its own.
+    assert len(reference_lists(text)) == 2
+    assert cut_references(text) == f"{prose}{REFERENCES_CUT}Appendix A: Proofs\n{prose}{REFERENCES_CUT}".rstrip()
+    assert cut_references(f"References\n{prose}\nReferences\n{prose}") == f"References\n{prose}\nReferences\n{prose}"
+    assert cut_appendix(text) == text[: text.index("Appendix A")].rstrip() + APPENDIX_CUT
+    sentence = f"{prose}\nAppendix A.1, where it is shown.\n{prose}"
+    assert cut_appendix(sentence) == sentence and cut_appendix(f"Appendix\n{prose}") == f"Appendix\n{prose}" and cut_references("") == ""
+    # A list that thins out ends without back matter.
+    assert cut_references(f"{prose}\nReferences\n{entries}\n{prose}\n{prose}").endswith(prose[-500:])
