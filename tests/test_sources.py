@@ -36,3 +36,20 @@ def test_sampled_pages(spark):
     pages = spark.createDataFrame([("d", i, f"PAGE{i:04d}") for i in range(200)] + [("s", 0, "only")], "doc string, page int, text string")
     got = {r["doc"]: r for r in http.sampled_text(pages).collect()}
     assert got["s"]["text"] == "only" and got["d"]["pages_read"] == 10 and got["d"]["text"].startswith("PAGE0000") and "PAGE0199" in got["d"]["text"] and "not read" in got["d"]["text"]
+
+
+def test_a_session_without_a_shared_folder_gets_a_local_one(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from quire.session import session\nfrom quire.sources.storage import shared_root, staged\n"
+        "s = session('local[1]', spark__ui__enabled='false')\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert staged(s.range(3), 't').count() == 3 and shared_root(s) == shared_root(s)\nprint('kept', shared_root(s))"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "TMPDIR": str(tmp_path)}
+    env.pop("PYSPARK_SUBMIT_ARGS", None)
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "kept file:" in done.stdout, done.stderr[-2000:]
