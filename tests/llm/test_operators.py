@@ -268,7 +268,7 @@ def test_queries_and_pipeline(spark, docs, tmp_path):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, prose(30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     stages = [n for n, _ in corpus_pipeline.STAGES]
-    assert stages == ["quality rules", "near dedup", "decontamination", "source mix", "token output"] and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert stages == ["quality rules", "near dedup", "decontamination", "source mix", "token output"] and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     kept = corpus_pipeline.quality(spark, docs, folder)
     assert kept.columns == docs.columns
     single = corpus_pipeline.near_dedup(spark, kept, folder)
