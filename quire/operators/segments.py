@@ -98,7 +98,8 @@ def _blocks_of(weights: list[float], block_docs: int, positions: bool):
             best_f, best_n, rows = [], [], list(held.values())
             for _, fs, ns, _ in rows:
                 top, pairs = 0.0, []
-                for n, f in sorted(zip(ns, fs, strict=True), key=lambda x: (x[0], -x[1])) if len(fs) > 1 else [(ns[0], fs[0])]:
+                # A lone posting is its own bound.
+                for n, f in sorted(zip(ns, fs, strict=True), key=lambda x: (x[0], -x[1])) if len(fs) > 1 else ():
                     if f > top:
                         top = f
                         pairs.append((f, n))
@@ -241,9 +242,10 @@ class SegmentedIndex:
         key = written.schema["key"].dataType.simpleString()
         blocks = map_batches(written.select("place", "key", "n", "tokens"), _blocks_of(list(self.weights.values()), self.block_docs, self.positions), self._block_schema(key))
         blocks = blocks.withColumn("shard", (F.crc32(F.col("term").cast("binary")) % shards).cast("int"))
-        # A frequent term's blocks go to many tasks, each with some ranges of it.
-        blocks = blocks.repartition("shard", F.floor(F.col("range") / 16)).sortWithinPartitions("shard", "term", "range")
-        blocks.write.partitionBy("shard").parquet(f"{folder}/blocks")
+        if shards > 1:
+            # A shard's blocks are brought together; a frequent term's go to many tasks, each with some ranges of it.
+            blocks = blocks.repartition("shard", F.floor(F.col("range") / 16))
+        blocks.sortWithinPartitions("shard", "term", "range").write.partitionBy("shard").parquet(f"{folder}/blocks")
         return Segment(name, count, int(total), shards, key)
 
     def _tokenised(self, rows: DataFrame) -> DataFrame:
@@ -328,7 +330,7 @@ class SegmentedIndex:
             rows = rows if allowed is None else rows.join(allowed.select("key").distinct(), "key", "left_semi")
             return rows.groupBy("key").agg(F.sum(part(F.col("f"), F.col("n"))).alias("total"))
 
-        bound = F.array_max(F.transform(F.arrays_zip("top_f", "top_n"), lambda x: part(x["top_f"], x["top_n"])))
+        bound = F.when(F.col("df") == 1, part(F.col("f")[0], F.col("n")[0])).otherwise(F.array_max(F.transform(F.arrays_zip("top_f", "top_n"), lambda x: part(x["top_f"], x["top_n"]))))
         bounds = staged(blocks.select("segment", "range", "df", bound.alias("bound")).groupBy("segment", "range").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"), F.sum("df").alias("postings")), "bounds")
         first = bounds.orderBy(F.col("bound").desc(), "segment", "range").limit(FIRST_RANGES).select("segment", "range").collect()
         best = scored(blocks.where(_either([(F.col("segment") == s) & (F.col("range") == r) for s, r in first]))).orderBy(F.col("total").desc()).limit(k)

@@ -57,9 +57,10 @@ def test_batches_equal_a_full_rebuild(spark, tmp_path):
     assert sorted((r["key"], r["n"]) for r in index.documents().select("key", "n").collect()) == sorted((k, sum(len(f.split()) for f in v)) for k, v in docs.items())
 
 
-@pytest.mark.parametrize("rows", [0, segments.BROADCAST_ROWS])
-def test_only_allowed_documents_set_the_threshold(spark, tmp_path, monkeypatch, rows):
+@pytest.mark.parametrize("rows,shard_docs", [(0, 50), (segments.BROADCAST_ROWS, segments.SHARD_DOCS)])
+def test_only_allowed_documents_set_the_threshold(spark, tmp_path, monkeypatch, rows, shard_docs):
     monkeypatch.setattr(segments, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(segments, "SHARD_DOCS", shard_docs)
     r = random.Random(8)
     docs = {k: (text(r, 2), text(r, 20)) for k in range(300)}
     index = SegmentedIndex(spark, str(tmp_path), WEIGHTS, block_docs=8)
