@@ -75,10 +75,17 @@ class ClaimWalks:
         rank = F.struct((~F.coalesce("c_is_origin", F.lit(False))).alias("no"), F.coalesce(F.nullif("year", F.lit(0)), F.lit(9999)).alias("year"), "place", "cited")
         return can.groupBy("claim", "node").agg(F.sum((F.coalesce("c_readable", F.lit(False)) & F.col("c_here").isNull()).cast("int")).alias("waiting"), F.min(F.when(states, rank)).alias("best"))
 
-    def _step(self, front: DataFrame, answers: DataFrame) -> DataFrame:
+    def _readings(self, front: DataFrame, answers: DataFrame) -> DataFrame:
+        """claim, node, the reading, waiting and best of every answered work of a claim with open walks: all that a step needs, computed once a batch."""
+        own = answers.join(front.select("claim").distinct(), "claim", "left_semi")
+        at = own.select("claim", "node", "attributed")
+        read = _known(own, "node", "a_").drop("a_attributed")
+        return staged(read.join(self._forks(at, answers), ["claim", "node"], "left"), "claim-readings")
+
+    def _step(self, front: DataFrame, readings: DataFrame) -> DataFrame:
         """Every open walk after one step, with the hop that it made and how it ended."""
         works = self.works.select("node", "readable")
-        rows = front.join(works, "node", "left").join(_known(answers, "node", "a_"), ["claim", "node"], "left")
+        rows = front.join(works, "node", "left").join(readings, ["claim", "node"], "left")
         entering = ~F.col("entered")
         end = (
             F.when(F.col("hop") >= self.max_hops, "stopped").when(F.array_contains("seen", F.col("node")), "looped").when(F.col("readable").isNull() & (F.col("hop") == 0), "unresolved")
@@ -86,8 +93,6 @@ class ClaimWalks:
         )
         rows = rows.withColumn("end", F.when(entering, end))
         rows = rows.withColumn("made", entering & (F.col("end").isNull() | F.col("end").isin("unreadable", "failed", "origin")))
-        at = rows.where("end is null").select("claim", "node", F.col("a_attributed").alias("attributed")).dropDuplicates(["claim", "node"])
-        rows = rows.join(self._forks(at, answers), ["claim", "node"], "left")
         choosing = F.col("end").isNull()
         status = F.when(choosing & F.col("waiting").isNull(), "unattributed").when(choosing & (F.col("waiting") == 0) & F.col("best").isNull(), "unconfirmed").when(F.col("end") != "waiting", F.col("end"))
         moves = choosing & (F.col("waiting") == 0) & F.col("best").isNotNull()
@@ -109,10 +114,10 @@ class ClaimWalks:
         once = answers.select("claim", "node", *flags, "attributed").groupBy("claim", "node").agg(F.min(F.struct(*names)).alias("a")).select("claim", "node", "a.*")
         known = self.log.read("answers")
         new = staged(once.join(known, ["claim", "node"], "left_anti"), "claim-answers")
-        every = known.unionByName(new)
         front, hops, done = self.log.read("front"), [], []
+        readings = self._readings(front, known.unionByName(new))
         while True:
-            step = staged(self._step(front, every), "claim-step")
+            step = staged(self._step(front, readings), "claim-step")
             hops.append(step.where("made").select("claim", "start", "hop", F.col("was").alias("node"), "states_claim", "is_origin"))
             done.append(step.where("status is not null").select("claim", "start", "hop", "status"))
             front = step.where("status is null").select("claim", "start", "hop", "node", "seen", "entered")
