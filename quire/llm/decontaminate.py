@@ -10,7 +10,7 @@ no pair that leaks is lost by it. Tiles do not overlap but may stand in any orde
 A document leaks an item if its tiles cover at least ``min_coverage`` of the item's words.
 
 Defined results: null or empty texts share nothing; an item shorter than ``min_match`` words is matched whole, as one
-run; repeated documents each get their rows; items are told apart by id and text, so texts that share an item id or
+run; documents that are equal in id and text get their rows once; items are told apart by id and text, so texts that share an item id or
 have none are each tiled and each get their row; an empty table on either side gives no rows; only the named columns are
 read, so other columns cannot clash.
 """
