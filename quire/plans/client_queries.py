@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.plans.tables import query
 from quire.plans.tables import table as _t
 from quire.sources import index_client, records
+from quire.sources.resolvers import register_resolver, template
 from quire.sources.storage import fresh_path
 from quire.streaming.inbox import Inbox
 
@@ -63,3 +64,23 @@ def inbox_filed(spark, sf_dir):
         inbox.apply(batch, files.where(F.col("batch") == batch).select("path", "text"))
     rows = inbox.filed().where("batch < 3").select(F.regexp_extract("path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"), F.when(F.col("key").rlike(r"^e\d+$"), F.col("key")).alias("_key"), "status", "digest")
     return rows.select("doc_id", F.col("_key").alias("entry"), "status")
+
+
+@query(
+    """WITH w AS (SELECT doc_id, CASE WHEN n_chars % 4 = 0 THEN NULL WHEN n_chars % 4 = 1 THEN ' ' ELSE '10.5555/' || source || '.' || doc_id END AS doi FROM documents), t AS (SELECT * FROM w WHERE trim(doi) <> '')
+SELECT doc_id, 'https://files.example.org/' || doi || '.pdf' AS url, 'files' AS label FROM t UNION ALL SELECT doc_id, 'https://mirror.example.org/' || doc_id % 7 || '/' || doi, 'mirrors' FROM t WHERE doc_id % 7 < 3"""
+)
+def resolver_links(spark, sf_dir):
+    """Candidates of two registered resolvers for every document with a DOI, by lateral joins in SQL."""
+    n = F.col("n_chars") % 4
+    doi = F.when(n == 0, F.lit(None)).when(n == 1, " ").otherwise(F.concat(F.lit("10.5555/"), "source", F.lit("."), F.col("doc_id").cast("string")))
+    works = _t(spark, sf_dir, "documents").select("doc_id", doi.alias("doi"))
+
+    def mirrors(doi):
+        shelf = int(doi.rsplit(".", 1)[1]) % 7
+        return [f"https://mirror.example.org/{shelf}/{doi}"] if shelf < 3 else []
+
+    register_resolver(spark, "files_resolver", template("https://files.example.org/{doi}.pdf"), "files")
+    register_resolver(spark, "mirror_resolver", mirrors, "mirrors")
+    found = [spark.sql(f"SELECT w.doc_id, r.url, r.label FROM {{works}} w, LATERAL {name}(w.doi) r WHERE r.error IS NULL", works=works) for name in ("files_resolver", "mirror_resolver")]
+    return found[0].unionByName(found[1])

@@ -55,3 +55,23 @@ def test_files_are_filed_once_and_moved_last(spark, tmp_path):
     assert [n for n in os.listdir(dropped) if n.endswith(".txt")] == ["d.txt"] and inbox.move(0, str(tmp_path / "done")) == 0
     texts = {r["key"]: r["n"] for r in inbox.log.read("texts").groupBy("key").agg(F.count("*").alias("n")).collect()}
     assert texts == {"known2000": 1, "looseleafa": 3}
+
+
+def test_resolvers_are_asked_by_doi_and_fail_alone(spark):
+    import pytest
+
+    from quire.sources.resolvers import register_resolver, template
+
+    def resolve(doi):
+        if doi.endswith("x"):
+            raise LookupError("no such shelf")
+        return [f"https://a.org/{doi}", "", f"https://b.org/{doi}"]
+
+    register_resolver(spark, "shelf", resolve)
+    works = spark.createDataFrame([(1, "10.1/a"), (2, "10.1/x"), (3, None), (4, " ")], "work int, doi string")
+    rows = spark.sql("SELECT w.work, r.place, r.url, r.label, r.error FROM {w} w, LATERAL shelf(w.doi) r ORDER BY work, place", w=works).collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "https://a.org/10.1/a", "shelf", None), (1, 1, "https://b.org/10.1/a", "shelf", None), (2, None, None, "shelf", "LookupError: no such shelf")]
+    with pytest.raises(Exception, match="a DOI is a string"):
+        spark.sql("SELECT * FROM {w} w, LATERAL shelf(w.work) r", w=works).collect()
+    with pytest.raises(ValueError):
+        template("ftp://x/{doi}")
