@@ -65,6 +65,8 @@ def chains(starts: DataFrame, links: DataFrame, order: list[Column], *, max_hops
     at once; each step is one join and one window, written out so that the lineage stays short.
     """
     best = Window.partitionBy("start").orderBy(*order, "cited")
+    # Every hop reads the links: they are computed once.
+    links = staged(links, "chain-links")
     front = staged(starts.select(F.col("node").alias("start"), F.lit(0).alias("hop"), F.col("node"), F.array("node").alias("seen")).distinct(), "chain")
     out = front.select("start", "hop", "node")
     for hop in range(1, max_hops + 1):
