@@ -22,6 +22,8 @@ from quire.sources.storage import staged
 
 SAMPLE, ROUNDS, PROBES, MOST_CELLS = 20_000, 6, 12, 4096
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
+#: Share of the cells that an inexact search looks into: these vectors form few clusters (recall 0.905 at 23 of 45 cells, 0.963 at 30).
+PROBE_SHARE = 0.6
 #: Distances are compared to so many decimals, so that equal vectors tie whatever task measured them.
 DECIMALS = 9
 
@@ -161,14 +163,14 @@ class VectorIndex:
             found = found.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("place", F.row_number().over(within)).where(F.col("place") <= k).drop("_part")
         return found
 
-    def search(self, queries: DataFrame, k: int = 10, *, probes: int = PROBES, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, *, probes: int | None = None, exact: bool = False) -> DataFrame:
         """query, id, distance, place of the ``k`` nearest rows of each query (query, vector)."""
         kind = self.cells.schema["id"].dataType.simpleString()
         if not len(self.centres):
             return self.cells.sparkSession.createDataFrame([], f"query {queries.schema['query'].dataType.simpleString()}, id {kind}, distance double, place int")
         width = self.centres.shape[1]
         asked = queries.where(F.size("vector") == width).select("query", F.col("vector").cast("array<double>").alias("vector"))
-        probes = min(probes, len(self.centres))
+        probes = min(probes or (PROBES if exact else max(PROBES, int(PROBE_SHARE * len(self.centres)) + 1)), len(self.centres))
         first = self._best(self._measured(self._looks(asked.withColumn("bound", F.lit(0.0)), probes), k), k)
         if not exact:
             return first
