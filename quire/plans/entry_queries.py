@@ -154,7 +154,9 @@ def records_arxiv(spark, sf_dir):
         F.lit("</title><author><name>Ann  Lee</name></author><author><name>Bo Li</name></author><published>"), (1990 + F.col("p_size")).cast("string"), F.lit("-05-01T00:00:00Z</published>"),
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<arxiv:journal_ref>"), F.col("p_brand"), F.lit(".</arxiv:journal_ref>"))).otherwise(""), F.lit("<arxiv:doi>10.1000/X"), k, F.lit("</arxiv:doi></entry>"),
     )
-    return records.from_arxiv(_t(spark, sf_dir, "part").select(k.alias("work"), xml.alias("payload"))).select("work", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi", "arxiv_id", "pdf_url")
+    # The table is a small file of many rows, whose payloads are dear to parse: more tasks than it has splits.
+    parts = _t(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)
+    return records.from_arxiv(parts.select(k.alias("work"), xml.alias("payload"))).select("work", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi", "arxiv_id", "pdf_url")
 
 
 @query(

@@ -24,6 +24,7 @@ reference: array<struct<`article-title`: string, `volume-title`: string, unstruc
 S2 = """struct<title: string, authors: array<struct<name: string>>, year: int, venue: string, citationCount: bigint, abstract: string, externalIds: struct<DOI: string, ArXiv: string, PubMedCentral: string>,
 openAccessPdf: struct<url: string>, publicationTypes: array<string>,
 references: array<struct<title: string, year: int, externalIds: struct<DOI: string, ArXiv: string>, authors: array<struct<name: string>>>>>""".replace("\n", " ")
+ARXIV = "struct<id: array<string>, title: array<string>, author: array<struct<name: array<string>>>, published: array<string>, journal_ref: array<string>, doi: array<string>, summary: array<string>>"
 
 
 def collapsed(text: Column) -> Column:
@@ -80,16 +81,22 @@ def from_semantic_scholar(answers: DataFrame, priority: int = 2, title_matched:
 
 
 def from_arxiv(answers: DataFrame, priority: int = 0) -> DataFrame:
-    """Atom entries, one ``<entry>`` element a payload."""
-    x = lambda path: F.xpath_string(F.col("_x"), F.lit(path))
+    """Atom entries, one ``<entry>`` element a payload; a payload that holds none gives no row."""
     bare = F.regexp_replace(F.regexp_replace("payload", r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
-    rows = answers.withColumn("_x", bare).withColumn("arxiv_id", F.coalesce(normal_arxiv(x("//entry/id")), F.col("work"))).withColumn("title", collapsed(x("//entry/title"))).where("title <> '' and arxiv_id <> ''")
+    entry = F.regexp_extract(bare, r"(?s)<entry[\s>].*?</entry\s*>", 0)
+    # A payload is parsed once: what a generator gives, no filter and no projection computes again.
+    rows = answers.select("work", entry.alias("_x")).select("work", "_x", F.inline(F.array(F.from_xml("_x", ARXIV))))
+    # A field with markup inside, or with an escaped less-than sign, is read by its path.
+    x = lambda name: F.when(F.contains(F.get(name, F.lit(0)), F.lit("<")), F.xpath_string("_x", F.lit(f"/entry/{name}"))).otherwise(F.coalesce(F.get(name, F.lit(0)), F.lit("")))
+    names = F.flatten(F.filter(F.transform("author", lambda a: a["name"]), lambda n: n.isNotNull()))
+    names = F.when(F.exists(names, lambda n: F.contains(n, F.lit("<"))), F.xpath("_x", F.lit("/entry/author/name/text()"))).otherwise(F.coalesce(names, F.array().cast("array<string>")))
+    rows = rows.withColumn("arxiv_id", F.coalesce(normal_arxiv(x("id")), F.col("work"))).withColumn("title", collapsed(x("title"))).where("title <> '' and arxiv_id <> ''")
     none = F.lit(None).cast("string")
-    authors = F.filter(F.transform(F.xpath("_x", F.lit("//entry/author/name/text()")), collapsed), lambda a: a != "")
+    authors = F.filter(F.transform(names, collapsed), lambda a: a != "")
     return rows.select(
-        "work", F.lit(priority).alias("priority"), "title", authors.alias("authors"), F.substring(x("//entry/published"), 1, 4).try_cast("int").alias("year"), clean_venue(F.nullif(x("//entry/journal_ref"), F.lit(""))).alias("venue"), F.lit("preprint").alias("type"),
-        normal_doi(x("//entry/doi")).alias("doi"), "arxiv_id", F.concat(F.lit("https://arxiv.org/abs/"), F.col("arxiv_id")).alias("url"), F.concat(F.lit("https://arxiv.org/pdf/"), F.col("arxiv_id")).alias("pdf_url"), none.alias("pmcid"),
-        collapsed(x("//entry/summary")).alias("abstract"), F.lit(None).cast("bigint").alias("citation_count"), none.alias("bibtex"), F.array().cast(f"array<{REFERENCE}>").alias("references"), F.lit("arxiv").alias("source"), F.lit(False).alias("title_matched"),
+        "work", F.lit(priority).alias("priority"), "title", authors.alias("authors"), F.substring(x("published"), 1, 4).try_cast("int").alias("year"), let(F.nullif(x("journal_ref"), F.lit("")), clean_venue).alias("venue"), F.lit("preprint").alias("type"),
+        normal_doi(x("doi")).alias("doi"), "arxiv_id", F.concat(F.lit("https://arxiv.org/abs/"), F.col("arxiv_id")).alias("url"), F.concat(F.lit("https://arxiv.org/pdf/"), F.col("arxiv_id")).alias("pdf_url"), none.alias("pmcid"),
+        collapsed(x("summary")).alias("abstract"), F.lit(None).cast("bigint").alias("citation_count"), none.alias("bibtex"), F.array().cast(f"array<{REFERENCE}>").alias("references"), F.lit("arxiv").alias("source"), F.lit(False).alias("title_matched"),
     )
 
 
