@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from quire.sources.storage import staged
 # Citing works that a candidate needs once a library has so many entries.
 MIN_COCITATIONS, LIBRARY_SIZE = 2, 3
 MAX_HOPS, MAX_NEXT = 5, 3
+#: Pairs that a task counts, on average.
+PAIRS_A_TASK = 2_000_000
 
 
 def edges(entries: DataFrame) -> DataFrame:
@@ -53,8 +57,11 @@ def cocitation_pairs(links: DataFrame, *, citing: str = "citing", cited: str = "
     """a, b, n: works cited together by at least ``least`` works. Only cited works with that many citers can pair."""
     once = links.select(F.col(citing).alias("citing"), F.col(cited).alias("cited")).distinct()
     often = once.groupBy("cited").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("cited")
-    once = once.join(often, "cited", "left_semi")
-    pairs = once.withColumnRenamed("cited", "a").join(once.withColumnRenamed("cited", "b"), "citing").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    once = staged(once.join(often, "cited", "left_semi"), "cocited")
+    # Most pairs come once, so none are counted before they are brought together, and the number of parts grows with theirs.
+    made = once.groupBy("citing").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    parts = max(once.sparkSession.sparkContext.defaultParallelism, math.ceil(made / PAIRS_A_TASK))
+    pairs = once.withColumnRenamed("cited", "a").join(once.withColumnRenamed("cited", "b"), "citing").where("a < b").select("a", "b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return pairs.orderBy(F.col("n").desc(), "a", "b").limit(limit) if limit else pairs
 
 
