@@ -34,12 +34,12 @@ def cocited(links: DataFrame, *, citing: str = "citing", cited: str = "cited", l
 
 def mine_references(entries: DataFrame) -> DataFrame:
     """Cited works that the library lacks, most cited and newest first; fields come from the first reference in key order."""
-    links = edges(entries)
-    size = entries.limit(LIBRARY_SIZE).count()
-    counts = cocited(links, least=MIN_COCITATIONS if size >= LIBRARY_SIZE else 1)
+    # Links and identities are read several times, and entries may be dear to compute.
+    links = staged(edges(entries), "cited-links")
+    held = staged(entries.select(identity(F.col("doi"), F.col("arxiv_id"), F.col("title")).alias("cited"), slug(F.col("title"), 120).alias("_slug")), "cited-known")
+    counts = cocited(links, least=MIN_COCITATIONS if held.limit(LIBRARY_SIZE).count() >= LIBRARY_SIZE else 1)
     proto = links.groupBy("cited").agg(F.min_by(F.struct("title", "authors", "year", "doi", "arxiv_id"), F.struct("citing", "place")).alias("p"))
-    known = entries.select(identity(F.col("doi"), F.col("arxiv_id"), F.col("title")).alias("cited")).distinct()
-    titles = entries.select(slug(F.col("title"), 120).alias("_slug")).distinct()
+    known, titles = held.select("cited").distinct(), held.select("_slug").distinct()
     rows = counts.join(known, "cited", "left_anti").join(proto, "cited").select("cited", "cocitations", "p.*").withColumn("_slug", slug(F.col("title"), 120))
     return rows.join(titles, "_slug", "left_anti").drop("_slug").orderBy(F.col("cocitations").desc(), F.coalesce("year", F.lit(0)).desc(), "cited")
 
