@@ -32,6 +32,8 @@ SCHEMAS = {
 }
 #: Ends at which the last work is the earliest source that could be reached.
 EARLIEST = ("unattributed", "unconfirmed")
+#: Works are joined as the planner likes up to so many; beyond it nothing goes through the driver to be broadcast.
+BROADCAST_ROWS = 200_000
 #: Fields of a reading's reply.
 FIELDS = {"states_claim": "whether the work states the claim", "is_origin": "whether the claim is first made here", "evidence_quote": "the sentence", "attributed_to": "a list of {index, confidence}: references that the claim is credited to"}
 
@@ -49,12 +51,17 @@ class ClaimWalks:
         # Every step reads both, so they are computed once.
         self.works = staged(works.select("node", "year", F.coalesce("readable", F.lit(False)).alias("readable")), "claim-works")
         self.references = staged(references.select("node", "index", "cited", "title", "doi", "arxiv_id"), "claim-references")
+        self._many = self.works.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
+
+    def _met(self, rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+        """A join whose other side grows with the works: by a shuffle where these are many, as a small file may hold many rows."""
+        return rows.hint("merge").join(other.hint("merge"), on, how) if self._many else rows.join(other, on, how)
 
     def begin(self, starts: DataFrame) -> None:
         """Opens a walk for every new (claim, node)."""
         new = starts.select("claim", F.col("node").alias("start")).where("start is not null").distinct()
         there = self.log.read("front").select("claim", "start").unionByName(self.log.read("done").select("claim", "start"))
-        new = new.join(there, ["claim", "start"], "left_anti").select("claim", "start", F.lit(0).alias("hop"), F.col("start").alias("node"), F.array().cast("array<string>").alias("seen"), F.lit(False).alias("entered"))
+        new = self._met(new, there, ["claim", "start"], "left_anti").select("claim", "start", F.lit(0).alias("hop"), F.col("start").alias("node"), F.array().cast("array<string>").alias("seen"), F.lit(False).alias("entered"))
         self.log.commit(self.log.state()[1]["last_batch"], {}, {"front": self.log.read("front").unionByName(new)})
 
     # -- a step ----------------------------------------------------------------------------------------------
@@ -63,10 +70,10 @@ class ClaimWalks:
         """claim, node, cited, place, readable, year and the reading (c_...) of what each (claim, node, attributed) blames."""
         blamed = at.select("claim", "node", F.explode("attributed").alias("a")).select("claim", F.col("node").alias("citing"), "a.index", "a.confidence")
         refs = self.references.select(F.col("node").alias("citing"), "index", "cited", "title", "doi", "arxiv_id")
-        rows = blamed.join(refs, ["citing", "index"]).select(F.struct("claim", "citing").alias("node"), F.col("index").alias("ord"), "confidence", "title", "doi", "arxiv_id", "cited")
+        rows = self._met(blamed, refs, ["citing", "index"]).select(F.struct("claim", "citing").alias("node"), F.col("index").alias("ord"), "confidence", "title", "doi", "arxiv_id", "cited")
         picks = next_references(rows).select("node.claim", F.col("node.citing").alias("node"), "cited", "place")
         works = self.works.select(F.col("node").alias("cited"), "year", F.col("readable").alias("c_readable"))
-        return picks.join(works, "cited", "left").join(_known(answers, "cited", "c_"), ["claim", "cited"], "left")
+        return self._met(self._met(picks, works, "cited", "left"), _known(answers, "cited", "c_"), ["claim", "cited"], "left")
 
     def _forks(self, at: DataFrame, answers: DataFrame) -> DataFrame:
         """claim, node, waiting, best of the works that walks stand at."""
@@ -80,12 +87,12 @@ class ClaimWalks:
         own = answers.join(front.select("claim").distinct(), "claim", "left_semi")
         at = own.select("claim", "node", "attributed")
         read = _known(own, "node", "a_").drop("a_attributed")
-        return staged(read.join(self._forks(at, answers), ["claim", "node"], "left"), "claim-readings")
+        return staged(self._met(read, self._forks(at, answers), ["claim", "node"], "left"), "claim-readings")
 
     def _step(self, front: DataFrame, readings: DataFrame) -> DataFrame:
         """Every open walk after one step, with the hop that it made and how it ended."""
         works = self.works.select("node", "readable")
-        rows = front.join(works, "node", "left").join(readings, ["claim", "node"], "left")
+        rows = self._met(self._met(front, works, "node", "left"), readings, ["claim", "node"], "left")
         entering = ~F.col("entered")
         end = (
             F.when(F.col("hop") >= self.max_hops, "stopped").when(F.array_contains("seen", F.col("node")), "looped").when(F.col("readable").isNull() & (F.col("hop") == 0), "unresolved")
@@ -113,7 +120,7 @@ class ClaimWalks:
         flags = [F.coalesce(c, F.lit(False)).alias(c) for c in names[:3]]
         once = answers.select("claim", "node", *flags, "attributed").groupBy("claim", "node").agg(F.min(F.struct(*names)).alias("a")).select("claim", "node", "a.*")
         known = self.log.read("answers")
-        new = staged(once.join(known, ["claim", "node"], "left_anti"), "claim-answers")
+        new = staged(self._met(once, known, ["claim", "node"], "left_anti"), "claim-answers")
         front, hops, done = self.log.read("front"), [], []
         readings = self._readings(front, known.unionByName(new))
         while True:
@@ -136,14 +143,14 @@ class ClaimWalks:
     def hops(self) -> DataFrame:
         """claim, start, hop, node, states_claim, is_origin, status of every hop so far."""
         ends = self.log.read("done").select("claim", "start", F.col("hop").alias("_last"), "status")
-        rows = self.log.read("hops").join(ends, ["claim", "start"], "left")
+        rows = self._met(self.log.read("hops"), ends, ["claim", "start"], "left")
         earliest = F.col("status").isin(*EARLIEST) & (F.col("hop") == F.col("_last"))
         return rows.withColumns({"is_origin": F.col("is_origin") | F.coalesce(earliest, F.lit(False)), "status": F.coalesce("status", F.lit("walking"))}).drop("_last")
 
     def pending(self) -> DataFrame:
         """claim, node of the readings that open walks wait for, each once."""
         front, answers = self.log.read("front"), self.log.read("answers")
-        rows = front.join(_known(answers, "node", "a_"), ["claim", "node"], "left")
+        rows = self._met(front, _known(answers, "node", "a_"), ["claim", "node"], "left")
         own = rows.where("a_here is null").select("claim", "node")
         at = rows.where("entered and a_here").select("claim", "node", F.col("a_attributed").alias("attributed")).dropDuplicates(["claim", "node"])
         blamed = self._candidates(at, answers).where("c_readable and c_here is null").select("claim", F.col("cited").alias("node"))
