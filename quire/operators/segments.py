@@ -1,9 +1,9 @@
 """An inverted index in immutable segments: it grows by what changed, and a top-k search passes over blocks that cannot count.
 
 A batch of changes becomes one segment. Its ``docs`` hold each document's tokens, its ``blocks`` the postings of a term in
-a range of some thousand neighbouring documents, which lie in the order of their lengths within a task. A document that
-is replaced or deleted is noted in a ``gone`` table under the segment that holds its dead version, with the terms that its
-death takes from their frequencies. Segments of like size are merged from their tokens, without reading texts again. The
+a range of up to some thousand neighbouring documents and a million tokens; documents lie in the order of their lengths
+within a task. A document that is replaced or deleted is noted in a ``gone`` table under the segment that holds its dead
+version, with the terms that its death takes from their frequencies. Segments of like size are merged from their tokens, without reading texts again. The
 list of what is alive is a numbered manifest, which comes to its name by a rename that fails where another writer was
 faster; a batch that dies before leaves files that no manifest names.
 
@@ -23,6 +23,9 @@ import uuid
 import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ from quire.sources.storage import staged
 
 #: Documents of a range; segments that are merged at a time; documents for each folder that terms are spread over.
 BLOCK_DOCS, FANOUT, SHARD_DOCS = 1024, 8, 1_000_000
+#: Tokens of a range of more than one document, which bound a task's memory: the longest documents of a task are neighbours.
+BLOCK_TOKENS = 1_000_000
+#: The bits of a place below its task.
+TASK_BITS = 33
 #: Ranges that are scored to find the threshold.
 FIRST_RANGES = 8
 #: Dead keys and kept ranges are broadcast up to so many rows; beyond it they are joined by a shuffle.
@@ -77,71 +84,68 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _blocks_of(weights: list[float], block_docs: int, positions: bool):
-    """Documents of neighbouring places to a row for each term of a range."""
+def _block_rows(rows: pa.Table, weights: list[float], positions: bool) -> pa.RecordBatch:
+    """A row for each term of the documents (place, key, n, tokens) of one range, which is named by its first place."""
+
+    def lists(ends, values):
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
+
+    n = rows["n"].to_numpy()
+    fields = rows["tokens"].combine_chunks().flatten()
+    words = fields.flatten().dictionary_encode()
+    counts = pc.list_value_length(fields).to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.arange(len(counts)), counts)
+    # Tokens of one term and document follow each other; a run of them is a posting.
+    posting = words.indices.to_numpy().astype(np.int64) * rows.num_rows + cell // len(weights)
+    order = np.argsort(posting, kind="stable")
+    cell, posting = cell[order], posting[order]
+    starts = np.flatnonzero(np.append(True, posting[1:] != posting[:-1]))
+    term, doc = np.divmod(posting[starts], rows.num_rows)
+    f = np.zeros(len(starts))
+    for i, w in enumerate(weights):
+        f += w * np.add.reduceat((cell % len(weights) == i).astype(np.int64), starts)
+    df = np.bincount(term, minlength=len(words.dictionary))
+    # Shortest first, a pair counts if its frequency is above all before it; a lone posting is its own bound.
+    by = np.lexsort((-f, n[doc], term))
+    rank = np.unique(f, return_inverse=True)[1][by] + term[by] * (len(f) + 1)
+    above = np.append(True, rank[1:] > np.maximum.accumulate(rank)[:-1])
+    top = by[above & (f[by] > 0) & (df[term[by]] > 1)]
+    top_ends, ends = np.cumsum(np.bincount(term[top], minlength=len(df))), np.cumsum(df)
+    columns = [words.dictionary.cast(pa.string()), pa.array(np.full(len(df), rows["place"][0].as_py()), pa.int64()), pa.array(df, pa.int64()), lists(top_ends, pa.array(f[top])), lists(top_ends, pa.array(n[doc[top]], pa.int64()))]
+    columns += [lists(ends, rows["key"].combine_chunks().take(pa.array(doc))), lists(ends, pa.array(f)), lists(ends, pa.array(n[doc], pa.int64()))]
+    names = ["term", "range", "df", "top_f", "top_n", "keys", "f", "n"]
+    if positions:
+        at = np.arange(len(cell)) - np.repeat(np.cumsum(counts) - counts, counts)
+        spots = pa.StructArray.from_arrays([pa.array(cell % len(weights), pa.int32()), pa.array(at[order], pa.int32())], ["field", "at"])
+        columns.append(lists(ends, lists(np.append(starts[1:], len(cell)), spots)))
+        names.append("places")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _blocks_of(weights: list[float], block_docs: int, block_tokens: int, positions: bool):
+    """Documents of neighbouring places to a row for each term of a range, which ends before it holds too many documents or tokens."""
 
     def run(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        key_type, at = None, None
-        held: dict[str, tuple[list, list, list, list]] = {}
-
-        def lists(rows, kind):
-            ends = [0]
-            for r in rows:
-                ends.append(ends[-1] + len(r))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for r in rows for x in r], kind))
+        held, docs, total, task = [], 0, 0, None
 
         def closed():
-            best_f, best_n, rows = [], [], list(held.values())
-            for _, fs, ns, _ in rows:
-                top, pairs = 0.0, []
-                # A lone posting is its own bound.
-                for n, f in sorted(zip(ns, fs, strict=True), key=lambda x: (x[0], -x[1])) if len(fs) > 1 else ():
-                    if f > top:
-                        top = f
-                        pairs.append((f, n))
-                best_f.append([f for f, _ in pairs])
-                best_n.append([n for _, n in pairs])
-            columns = [pa.array(list(held)), pa.array([at] * len(rows), pa.int64()), pa.array([len(r[0]) for r in rows], pa.int64()), lists(best_f, pa.float64()), lists(best_n, pa.int64())]
-            columns += [lists([r[0] for r in rows], key_type), lists([r[1] for r in rows], pa.float64()), lists([r[2] for r in rows], pa.int64())]
-            names = ["term", "range", "df", "top_f", "top_n", "keys", "f", "n"]
-            if positions:
-                spot = pa.struct([("field", pa.int32()), ("at", pa.int32())])
-                columns.append(pa.array([r[3] for r in rows], pa.list_(pa.list_(spot))))
-                names.append("places")
+            rows = pa.Table.from_batches(held)
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names)
+            # Documents without a token are in no block.
+            if total:
+                yield _block_rows(rows, weights, positions)
 
         for batch in batches:
-            key_type = batch.schema.field("key").type
-            for start in range(0, batch.num_rows, 64):  # few documents are Python objects at a time
-                part = batch.slice(start, 64)
-                for place, key, n, fields in zip(*(part.column(c).to_pylist() for c in ("place", "key", "n", "tokens")), strict=True):
-                    if place // block_docs != at:
-                        if held:
-                            yield closed()
-                        at = place // block_docs
-                    counts, spots = {}, {}
-                    for i, (w, found) in enumerate(zip(weights, fields, strict=True)):
-                        for term, c in Counter(found).items():
-                            counts[term] = counts.get(term, 0.0) + w * c
-                        if positions:
-                            for j, term in enumerate(found):
-                                spots.setdefault(term, []).append({"field": i, "at": j})
-                    for term, f in counts.items():
-                        row = held.get(term)
-                        if row is None:
-                            row = held[term] = ([], [], [], [])
-                        row[0].append(key)
-                        row[1].append(f)
-                        row[2].append(n)
-                        if positions:
-                            row[3].append(spots[term])
-        if held:
-            yield closed()
+            start = 0
+            for i, (place, n) in enumerate(zip(batch.column("place").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                if docs and (docs == block_docs or total + n > block_tokens or place >> TASK_BITS != task):
+                    held.append(batch.slice(start, i - start))
+                    yield from closed()
+                    start, docs, total = i, 0, 0
+                docs, total, task = docs + 1, total + n, place >> TASK_BITS
+            held.append(batch.slice(start))
+        if docs:
+            yield from closed()
 
     return run
 
@@ -240,11 +244,11 @@ class SegmentedIndex:
         count, total = written.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         shards = 1 + count // SHARD_DOCS
         key = written.schema["key"].dataType.simpleString()
-        blocks = map_batches(written.select("place", "key", "n", "tokens"), _blocks_of(list(self.weights.values()), self.block_docs, self.positions), self._block_schema(key))
+        blocks = map_batches(written.select("place", "key", "n", "tokens"), _blocks_of(list(self.weights.values()), self.block_docs, BLOCK_TOKENS, self.positions), self._block_schema(key))
         blocks = blocks.withColumn("shard", (F.crc32(F.col("term").cast("binary")) % shards).cast("int"))
         if shards > 1:
             # A shard's blocks are brought together; a frequent term's go to many tasks, each with some ranges of it.
-            blocks = blocks.repartition("shard", F.floor(F.col("range") / 16))
+            blocks = blocks.repartition("shard", F.floor(F.col("range") / (16 * self.block_docs)))
         blocks.sortWithinPartitions("shard", "term", "range").write.partitionBy("shard").parquet(f"{folder}/blocks")
         return Segment(name, count, int(total), shards, key)
 
