@@ -46,6 +46,8 @@ FIRST_RANGES = 8
 BROADCAST_ROWS = 200_000
 #: Sums of bounds and of scores may differ in their last bits.
 SLACK = 1e-9
+#: Decimals of a score unless a search gives others; as many as make the scores of equal texts the same, in whatever order they are summed.
+DIGITS = 12
 
 
 @dataclasses.dataclass(frozen=True)
@@ -317,7 +319,7 @@ class SegmentedIndex:
         idf = F.element_at(F.create_map(*[F.lit(x) for kv in idfs.items() for x in kv]), F.col("term"))
         return lambda f, n: idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / F.lit(mean)))
 
-    def _plan(self, terms: list[str], k: int, allowed: DataFrame | None):
+    def _plan(self, terms: list[str], k: int, allowed: DataFrame | None, digits: int = DIGITS, mean: float | None = None):
         """(manifest, blocks, bounds by range as a staged table, scorer of blocks, threshold); None where no live document holds a term."""
         m, terms = self.manifest(), sorted(set(terms))
         if not terms or not m.docs:
@@ -327,23 +329,27 @@ class SegmentedIndex:
         if not idfs:
             return None
         blocks = blocks.where(F.col("term").isin(sorted(idfs)))
-        part = self._part(idfs, m.tokens / m.docs)
+        part = self._part(idfs, m.tokens / m.docs if mean is None else mean)
 
         def scored(some: DataFrame) -> DataFrame:
             rows = self._postings(some, m)
             rows = rows if allowed is None else rows.join(allowed.select("key").distinct(), "key", "left_semi")
-            return rows.groupBy("key").agg(F.sum(part(F.col("f"), F.col("n"))).alias("total"))
+            return rows.groupBy("key").agg(F.round(F.sum(part(F.col("f"), F.col("n"))), digits).alias("total"))
 
         bound = F.when(F.col("df") == 1, part(F.col("f")[0], F.col("n")[0])).otherwise(F.array_max(F.transform(F.arrays_zip("top_f", "top_n"), lambda x: part(x["top_f"], x["top_n"]))))
         bounds = staged(blocks.select("segment", "range", "df", bound.alias("bound")).groupBy("segment", "range").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"), F.sum("df").alias("postings")), "bounds")
         first = bounds.orderBy(F.col("bound").desc(), "segment", "range").limit(FIRST_RANGES).select("segment", "range").collect()
         best = scored(blocks.where(_either([(F.col("segment") == s) & (F.col("range") == r) for s, r in first]))).orderBy(F.col("total").desc()).limit(k)
         count, least = best.agg(F.count("*"), F.min("total")).first()
-        return m, blocks, bounds, scored, least if count == k else 0.0
+        # What is rounded up to the k-th best may tie with it, and have the lesser key.
+        return m, blocks, bounds, scored, max(least - 0.5 * 10**-digits, 0.0) if count == k else 0.0
 
-    def top(self, terms: list[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
-        """key, score (lower is better) of the best ``k`` live documents that hold a term, ties by key; of ``allowed`` keys only, if given."""
-        planned = self._plan(terms, k, allowed)
+    def top(self, terms: list[str], k: int, allowed: DataFrame | None = None, *, digits: int = DIGITS, mean: float | None = None) -> DataFrame:
+        """key, score (lower is better) of the best ``k`` live documents that hold a term; of ``allowed`` keys only, if given.
+
+        Scores are rounded to ``digits`` before they are compared, ties go by key. ``mean`` stands in for the mean length of live documents.
+        """
+        planned = self._plan(terms, k, allowed, digits, mean)
         if planned is None:
             found = self.manifest().segments
             return self.spark.createDataFrame([], f"key {found[0].key if found else 'string'}, score double")

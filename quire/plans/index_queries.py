@@ -29,12 +29,12 @@ FROM p JOIN d USING (term), w GROUP BY ALL ORDER BY score, doc_id LIMIT 50
 """
 
 
-def _index(spark) -> SegmentedIndex:
-    return SegmentedIndex(spark, fresh_path(spark, "segments"), {"text": 1.0})
+def _index(spark, payload: tuple[str, ...] = ()) -> SegmentedIndex:
+    return SegmentedIndex(spark, fresh_path(spark, "segments"), {"text": 1.0}, payload=payload)
 
 
-def _best(index: SegmentedIndex, terms: list[str]) -> DataFrame:
-    return index.top(terms, 50).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+def _best(index: SegmentedIndex, terms: list[str], mean: float | None = None) -> DataFrame:
+    return index.top(terms, 50, digits=6, mean=mean).select(F.col("key").alias("doc_id"), "score")
 
 
 @query(scores_sql(CHANGED_TERMS, f"coalesce(length(text), 0) >= {LEAST_CHARS}", ", docs, tokens, (SELECT count(*) + count(*) FILTER (doc_id % 3 = 1) FROM documents) AS tokenised").replace("regexp_extract_all(lower(text)", "regexp_extract_all(lower(coalesce(text, ''))"))
@@ -56,7 +56,11 @@ def incremental_index(spark, sf_dir):
 
 @query(scores_sql(BLOCK_TERMS))
 def block_max_search(spark, sf_dir):
-    """The best 50 documents for five terms, frequent ones among them, from the blocks that can hold one."""
-    index = _index(spark)
-    index.apply(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
-    return _best(index, BLOCK_TERMS)
+    """The best 50 documents for five terms, frequent ones among them, from the blocks that can hold one.
+
+    A document without text counts as a document, but not in the mean length.
+    """
+    index = _index(spark, ("written",))
+    m = index.apply(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("text").isNotNull().alias("written")))
+    written = index.documents(m).where("written").count() if m.segments else 0
+    return _best(index, BLOCK_TERMS, m.tokens / written if written else None)
